@@ -1,0 +1,237 @@
+"""Token-id files coded by a static range asymmetric numeral system (rANS).
+
+A chunk (one row of the file table) holds whole documents. Its bytes:
+
+    magic 'RNS1' | u32 documents | u32 blocks | u32 lanes | u64 ids in all
+    documents x i64 id | documents x u32 length
+    blocks x (u64 first id, u64 byte offset, u32 bytes, u32 crc32)     the checkpoints
+    blocks' bytes
+
+A block starts from its own lane states, so any block can be decoded alone. Id i of a block belongs to lane
+i mod lanes: states are 64-bit in [2**31, 2**63) and give up 32 bits at a time. All chunks share one frequency table.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import forget, materialize, partitions, rows_of, slices, table
+from .tokens import END_ID, encoder, tokenizer_path, with_end
+
+MAGIC = b"RNS1"
+#: Frequencies sum to 1 << BITS.
+BITS = 20
+LANES = 2048
+#: Ids in a block, and ids from which a chunk is closed.
+BLOCK = 1 << 17
+CHUNK = 1 << 18
+_HEAD = struct.Struct("<4sIIIQ")
+_POINT = struct.Struct("<QQII")
+
+
+def shares(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Integer frequencies that sum to 1 << bits, at least 1 for each id that occurs."""
+    total, whole = int(counts.sum()), 1 << bits
+    out = np.zeros(len(counts), np.int64)
+    if not total:
+        return out
+    seen = counts > 0
+    if seen.sum() > whole:
+        raise ValueError("more distinct ids than slots")
+    out[seen] = np.maximum(1, counts[seen] * (whole - int(seen.sum())) // total)
+    order = np.argsort(-out, kind="stable")
+    spare = whole - int(out.sum())  # never negative but for the ones raised to 1
+    if spare >= 0:
+        out[order[0]] += spare
+    for i in order:
+        if spare >= 0:
+            break
+        less = min(int(out[i]) - 1, -spare)
+        out[i] -= less
+        spare += less
+    return out
+
+
+class Coder:
+    def __init__(self, freq: np.ndarray, bits: int = BITS):
+        self.freq, self.bits = freq.astype(np.uint64), np.uint64(bits)
+        self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
+        self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.top = np.uint64(31 - bits + 32)
+
+    def encode(self, ids: np.ndarray, lanes: int) -> bytes:
+        state = np.full(lanes, 1 << 31, np.uint64)
+        words: list[np.ndarray] = []
+        for at in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
+            s = ids[at : at + lanes]
+            f, x = self.freq[s], state[: len(s)]
+            over = x >= (f << self.top)
+            words.append(x[over].astype(np.uint32))
+            x = np.where(over, x >> np.uint64(32), x)
+            q = x // f
+            state[: len(s)] = (q << self.bits) + (x - q * f) + self.cum[s]
+        stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
+        return state.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
+
+    def decode(self, data: bytes, n: int, lanes: int) -> np.ndarray:
+        state = np.frombuffer(data, "<u8", lanes).astype(np.uint64)
+        stream = np.frombuffer(data, "<u4", offset=8 * lanes).astype(np.uint64)
+        out, used = np.empty(n, np.uint32), 0
+        for at in range(0, n, lanes):
+            x = state[: min(lanes, n - at)]
+            low = x & self.mask
+            s = self.slot[low]
+            out[at : at + len(x)] = s
+            x = self.freq[s] * (x >> self.bits) + low - self.cum[s]
+            under = np.flatnonzero(x < np.uint64(1 << 31))
+            x[under] = (x[under] << np.uint64(32)) | stream[used : used + len(under)]
+            used += len(under)
+            state[: len(x)] = x
+        if used != len(stream) or (state != 1 << 31).any():
+            raise ValueError("block does not end in its first state")
+        return out
+
+
+def write_chunk(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, coder: Coder, block: int = BLOCK, lanes: int = LANES) -> bytes:
+    lanes = max(1, min(lanes, len(ids) // 32))
+    blocks = [coder.encode(ids[i : i + block], lanes) for i in range(0, len(ids), block)]
+    points, at = b"", 0
+    for k, data in enumerate(blocks):
+        points += _POINT.pack(k * block, at, len(data), zlib.crc32(data))
+        at += len(data)
+    return _HEAD.pack(MAGIC, len(docs), len(blocks), lanes, len(ids)) + docs.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + points + b"".join(blocks)
+
+
+def read_chunk(data: bytes, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document ids, lengths, token ids); raises ValueError where magic, checksum or state is wrong."""
+    magic, n, blocks, lanes, total = _HEAD.unpack_from(data)
+    if magic != MAGIC:
+        raise ValueError("not a chunk")
+    at = _HEAD.size
+    docs, lengths = np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n)
+    at += 12 * n
+    points = [_POINT.unpack_from(data, at + i * _POINT.size) for i in range(blocks)]
+    at += blocks * _POINT.size
+    ids = []
+    for (first, offset, size, crc), end in zip(points, [*(p[0] for p in points[1:]), total], strict=True):
+        own = data[at + offset : at + offset + size]
+        if zlib.crc32(own) != crc:
+            raise ValueError(f"checksum of the block at id {first}")
+        ids.append(coder.decode(own, end - first, lanes))
+    return docs, lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Documents in order to rows of raw chunks, and at the end the counts of the partition's ids."""
+    from pyspark import TaskContext
+
+    own, part = encoder(path), TaskContext.get().partitionId()
+    counts = np.zeros(1 << 16, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    size = base = number = 0
+
+    def row() -> pa.RecordBatch:
+        docs, nulls, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        values = [part, number, base, docs.astype("<i8").tobytes(), np.packbits(nulls).tobytes(), lengths.astype("<u4").tobytes(), ids.astype("<u4" if ids.max() >> 16 else "<u2").tobytes(), int(lengths.sum()), None, None]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+
+    names = ["part", "chunk", "base", "docs", "nulls", "lengths", "ids", "n", "token", "count"]
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    for batch in batches:
+        for piece in slices(batch, "_text"):
+            ids, offsets = with_end(*own.encode(piece.column("_text")), end_id)
+            most = int(ids.max(initial=0))
+            if most >= len(counts):
+                counts = np.concatenate([counts, np.zeros(most + 1 - len(counts), np.int64)])
+            counts += np.bincount(ids, minlength=len(counts))
+            key = piece.column("_id")
+            docs, nulls, lengths = np.asarray(key.fill_null(0)), np.asarray(key.is_null()), np.diff(offsets)
+            cuts = np.flatnonzero(np.diff(offsets[1:] // CHUNK, prepend=0))  # close after these documents
+            for a, b in zip([0, *(cuts + 1)], [*(cuts + 1), len(docs)], strict=True):
+                if a == b:
+                    continue
+                held.append((docs[a:b], nulls[a:b], lengths[a:b], ids[offsets[a] : offsets[b]].astype(np.uint32)))
+                size += int(lengths[a:b].sum())
+                if size >= CHUNK:
+                    yield row()
+                    base, number, held, size = base + size, number + 1, [], 0
+    if held:
+        yield row()
+        base += size
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, -1, base, None, None, None, None, 0, seen.astype(np.int32), counts[seen]], types, strict=True)], names)
+
+
+RAW = "part int, chunk long, base long, docs binary, nulls binary, lengths binary, ids binary, n long, token array<int>, count array<long>"
+
+
+def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Encode all documents, in ascending id order, into chunks written in the shared folder.
+
+    Returns the file table (part, chunk, base, nulls, data), the totals (part, total) and the frequencies.
+    The order is id, then text; null ids come first. Only the frequency table (as long as the vocabulary)
+    and nothing of a document comes to the driver.
+    """
+    spark, path = docs.sparkSession, path or tokenizer_path()
+    ordered = rows_of(docs, id_col, text_col).select("_id", "_text").repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id", "_text")
+    raw = materialize(ordered.mapInArrow(lambda b: _chunks(b, path, end_id), RAW), "op9-raw")
+    found = raw.where("chunk = -1").select(F.explode(F.arrays_zip("token", "count")).alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.sum("x.count").alias("n")).toPandas()
+    counts = np.zeros(int(found["token"].max()) + 1 if len(found) else 1, np.int64)
+    counts[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    freq = shares(counts)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(freq)
+        for batch in batches:
+            for x in batch.to_pylist():
+                lengths = np.frombuffer(x["lengths"], "<u4")
+                ids = np.frombuffer(x["ids"], "<u2" if len(x["ids"]) == 2 * x["n"] else "<u4").astype(np.uint32)
+                data = write_chunk(np.frombuffer(x["docs"], "<i8"), lengths, ids, coder)
+                yield pa.RecordBatch.from_arrays([pa.array([x["part"]], pa.int32()), pa.array([x["chunk"]], pa.int64()), pa.array([x["base"]], pa.int64()), pa.array([x["nulls"]], pa.binary()), pa.array([data], pa.binary())], ["part", "chunk", "base", "nulls", "data"])
+
+    files = materialize(raw.where("chunk >= 0").drop("token", "count").mapInArrow(code, "part int, chunk long, base long, nulls binary, data binary"), "op9-ids")
+    totals = materialize(raw.where("chunk = -1").select("part", F.col("base").alias("total")), "op9-totals")
+    forget(raw)
+    return files, totals, freq
+
+
+def read_ids(files: DataFrame, totals: DataFrame, freq: np.ndarray) -> DataFrame:
+    """Decode the file table: a row per document with its start among all ids, length and crc32 of its ids."""
+    first, base = {}, 0
+    for x in sorted(totals.collect()):  # a row for each range partition
+        first[x["part"]] = base
+        base += x["total"]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(freq)
+        for batch in batches:
+            for x in batch.to_pylist():
+                docs, lengths, ids = read_chunk(x["data"], coder)
+                nulls = np.unpackbits(np.frombuffer(x["nulls"], np.uint8), count=len(docs)).astype(bool)
+                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths.astype(np.int64))
+                starts = ends - lengths
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=nulls), pa.array(starts + x["base"] + first[x["part"]], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Write all ids to the coded files and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    Null or empty text is the end id alone. Rows that share an id are coded each, in text order. A null id
+    stays null and comes first. Other columns, of any name, are not read. No documents: no rows.
+    """
+    return read_ids(*write_ids(docs, id_col, text_col, path))
+
+
+def op9_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))

@@ -1,0 +1,133 @@
+"""Sum-of-squares packing of token documents into fixed windows."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import rows_of, slices, table
+from .tokens import END_ID, encoder, tokenizer_path, with_end
+
+WINDOW = 4096
+#: Open windows a packer holds before it closes them early (their contents then fill whole windows).
+MOST_OPEN = 8192
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+
+
+class Packer:
+    """Online packing. A document's whole windows go out alone; its remainder goes into the open window
+    whose choice makes the sum over fill levels of squared window counts least (ties: the fullest).
+
+    Levels are counted in an array over 1 .. window - 1. drain() empties the open windows: their pieces,
+    cut where needed, fill whole windows, and the last part is cut to powers of two, which need no padding.
+    """
+
+    def __init__(self, window: int, first: int):
+        self.window, self.next = window, first
+        self.count = np.zeros(window + 1, np.int64)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(window + 1)]
+        self.held = 0
+        self.out: list[tuple] = []
+
+    def _emit(self, number: int, pieces: list) -> None:
+        at, total = 0, sum(len(p[3]) for p in pieces)
+        for doc, start, tokens, ids in pieces:
+            self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, number, at, total))
+            at += len(ids)
+
+    def _new(self) -> int:
+        self.next += 1
+        return self.next - 1
+
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        n, whole = len(ids), len(ids) // self.window * self.window
+        for start in range(0, whole, self.window):
+            self._emit(self._new(), [(doc, start, n, ids[start : start + self.window])])
+        if whole < n:
+            self._place((doc, whole, n, ids[whole:].astype(np.uint32)))
+
+    def _place(self, piece: tuple) -> None:
+        size, w = len(piece[3]), self.window
+        count, levels = self.count, w - size
+        # placing on level h makes the sum change by 2 * (count[h + size] - count[h]) + 2; a full window is not counted
+        change = 2 * (count[size + 1 : w + 1] - count[1 : levels + 1]) + 2
+        change[-1:] = 1 - 2 * count[levels : levels + 1]
+        change[count[1 : levels + 1] == 0] = np.iinfo(np.int64).max
+        level = 0
+        if len(change):
+            best = len(change) - 1 - int(np.argmin(change[::-1]))
+            if change[best] <= 2 * count[size] + 1:
+                level = best + 1
+        if level:
+            number, pieces = self.open[level].pop()
+            count[level] -= 1
+            self.held -= 1
+        else:
+            number, pieces = self._new(), []
+        pieces.append(piece)
+        if level + size == w:
+            self._emit(number, pieces)
+            return
+        self.open[level + size].append((number, pieces))
+        count[level + size] += 1
+        self.held += 1
+        if self.held > MOST_OPEN:
+            self.drain()
+
+    def drain(self) -> None:
+        rest = [p for level in self.open for _, pieces in level for p in pieces]
+        self.open = [[] for _ in range(self.window + 1)]
+        self.count[:] = 0
+        self.held = 0
+        left = sum(len(p[3]) for p in rest)
+        target, pieces, have = 0, [], 0
+        for doc, start, tokens, ids in rest:
+            while len(ids):
+                target = target or (self.window if left >= self.window else 1 << (left.bit_length() - 1))
+                part, ids = ids[: target - have], ids[target - have :]
+                pieces.append((doc, start, tokens, part))
+                start, have = start + len(part), have + len(part)
+                if have == target:
+                    self._emit(self._new(), pieces)
+                    left, target, pieces, have = left - target, 0, [], 0
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """The pieces of all documents in windows of `window` tokens (a power of two): SCHEMA, a row per piece.
+
+    Each input partition packs on its own and numbers its windows from partition << 40, so nothing is
+    shuffled, a lost task gives the same rows again, and memory is bounded by MOST_OPEN open windows.
+    Null or empty text is one piece of the end id. Rows that share an id, or a text, are packed each.
+    A null id stays null. Other columns, of any name, are not read. No documents: no rows.
+    """
+    path = path or tokenizer_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        packer, own = Packer(window, TaskContext.get().partitionId() << 40), encoder(path)
+
+        def gone() -> Iterator[pa.RecordBatch]:
+            if packer.out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packer.out, strict=True)], names)
+                packer.out = []
+
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                ids, offsets = with_end(*own.encode(part.column("_text")), end_id)
+                for doc, a, b in zip(part.column("_id").to_pylist(), offsets, offsets[1:], strict=False):
+                    packer.add(doc, ids[a:b])
+                yield from gone()
+        packer.drain()
+        yield from gone()
+
+    return rows_of(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, SCHEMA)
+
+
+def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
