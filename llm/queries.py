@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, packing
+from . import ans, decontaminate, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for module in (ans, packing):
+    for module in (decontaminate, ans, packing):
         out |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
