@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts take about `most` bytes; a longer text stands alone."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends = np.cumsum(lengths)
     at = 0
     while at < batch.num_rows:
