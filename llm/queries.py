@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, decontaminate, jaccard, packing
+from . import ans, decontaminate, jaccard, packing, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for module in (decontaminate, jaccard, ans, packing):
+    for module in (suffix, decontaminate, jaccard, ans, packing):
         out |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
     return out
 

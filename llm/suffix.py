@@ -1,0 +1,363 @@
+"""Removal of repeated byte strings: collections of document parts, each given a BWT with common prefixes."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import BYTE_CODE, STEP, flat, forget, materialize, mix, partitions, powers, rows_of, slices, table
+
+#: Bytes of a repeat.
+LENGTH = 200
+#: Bytes of an anchor.
+ANCHOR = 24
+#: Parts that share an anchor up to which they are one collection; more are matched by window digest.
+COLLECTION = 16_384
+#: Parts from which a collection is closed after its anchor's last.
+GATHER = 256
+#: Bytes of an array of a collection from which it is a file.
+SPILL = 4 << 20
+#: Rows up to which requests and spans are broadcast (about 40 MB).
+BROADCAST_ROWS = 1_000_000
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CODE2 = mix(BYTE_CODE)
+_STEP2 = np.uint64(0xA0761D6478BD642F)
+
+
+def _rolling(raw: np.ndarray) -> np.ndarray:
+    """The hash of each ANCHOR bytes."""
+    with np.errstate(over="ignore"):
+        h, n, by = BYTE_CODE[raw], 1, STEP
+        have: dict[int, np.ndarray] = {}
+        while True:
+            have[n] = h
+            if 2 * n > ANCHOR:
+                break
+            h = h[:-n] * by + h[n:]
+            n, by = 2 * n, by * by
+        out, size = have[n], n
+        while size < ANCHOR:
+            n = max(k for k in have if k <= ANCHOR - size)
+            more = have[n][size:]
+            out, size = out[: len(more)] * powers(STEP, n + 1)[n] + more, size + n
+        return mix(out)
+
+
+def _extreme(x: np.ndarray, n: int, of) -> np.ndarray:
+    """of(x[i], ..., x[i + n - 1]) for each i."""
+    size = 1
+    while 2 * size <= n:
+        x = of(x[:-size], x[size:])
+        size *= 2
+    return of(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
+
+
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(value, first, windows, anchor hash, digest) of each part.
+
+    Each window of `length` bytes belongs to its anchor, the last of the least hashed ANCHOR bytes in it, so
+    equal windows have equal anchors at equal places. A part is a run of windows with one anchor: those that
+    start in first .. first + windows - 1 (in all bytes); the digest is of all its bytes and the anchor's place.
+    """
+    span = length - ANCHOR + 1
+    starts, ends = offsets[:-1], offsets[1:]
+    fits = np.flatnonzero(ends - starts >= length)
+    none = np.zeros(0, np.int64)
+    if not len(fits):
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    h = _rolling(raw)
+    h[h == _NONE] -= np.uint64(1)
+    least = _extreme(h, span, np.minimum)
+    counts = ends[fits] - starts[fits] - length + 1
+    p = np.repeat(starts[fits] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    valid = np.zeros(len(h) + span - 1, np.uint64)
+    valid[span - 1 + p] = least[p]  # shifted, so that the maximum below is over the windows that hold a place
+    chosen = np.flatnonzero(_extreme(valid, span, np.maximum) == h)
+    upto = np.zeros(len(h) + 1, np.int64)
+    upto[chosen + 1] = 1
+    rank = np.cumsum(upto)[p + span] - 1
+    want = least[p]
+    while True:
+        wrong = np.flatnonzero(h[chosen[rank]] != want)
+        if not len(wrong):
+            break
+        rank[wrong] -= 1
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(rank) != 0) | (np.diff(p) != 1)]))
+    windows = np.diff(first, append=len(p))
+    lo, q = p[first], chosen[rank[first]]
+    with np.errstate(over="ignore"):
+        power = powers(_STEP2, len(raw) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE2[raw] * power[:-1])])
+        inverse = np.uint64(pow(int(_STEP2), -1, 1 << 64))
+        part = (total[lo + windows + length - 1] - total[lo]) * powers(inverse, int(lo.max()) + 1)[lo]
+        digest = mix(part + (windows * 4096 + (q - lo)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return np.searchsorted(offsets, lo, "right") - 1, lo, windows, h[q], digest
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for own in slices(batch, "_text"):
+            raw, offsets = flat(own.column("_text"))
+            value, lo, windows, h, digest = anchors(raw, offsets, length)
+            rows = np.asarray(own.column("_row"))[value]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(rows), pa.array((lo - offsets[value]).astype(np.int32)), pa.array(windows.astype(np.int16))], ["h", "digest", "_row", "lo", "n"])
+
+
+class Column:
+    """An array that each round reads and writes again in order: a file once it is over SPILL bytes."""
+
+    def __init__(self, folder: str, name: str):
+        self.path, self.kept = os.path.join(folder, name), np.zeros(0)
+
+    def read(self) -> np.ndarray:
+        return self.kept if self.kept is not None else np.fromfile(self.path, self.dtype)
+
+    def write(self, x: np.ndarray) -> None:
+        self.kept, self.dtype = x, x.dtype
+        if x.nbytes > SPILL:
+            x.tofile(self.path + ".new")
+            os.replace(self.path + ".new", self.path)
+            self.kept = None
+
+
+def repeated(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of each suffix that shares its first `length` symbols with another of the collection.
+
+    The texts' BWT grows by a symbol per text each round, from their ends: round j inserts the suffixes of
+    j + 1 symbols (and the end mark). A suffix c + s comes at the number of end marks, of smaller symbols and
+    of c before s in the BWT. Its common prefix with its neighbours is one more than the least one between s
+    and the next c above and below. BWT, common prefixes (up to `length`) and suffix numbers are Columns.
+    """
+    m = len(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, m)
+    if not m or length < 1 or not sizes.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    symbols, code = np.unique(np.concatenate(texts), return_inverse=True)
+    kind = np.uint16 if len(symbols) < 1 << 16 else np.uint32
+    width = int(sizes.max()) + 1
+    back = np.zeros((width + 1, m), kind)  # back[j]: the symbol j + 1 from the end, 0 before the first
+    ends = np.cumsum(sizes)
+    back[np.repeat(ends, sizes) - 1 - np.arange(len(code)), np.repeat(np.arange(m), sizes)] = code + 1
+    with tempfile.TemporaryDirectory() as folder:
+        bwt, common, number = (Column(folder, x) for x in ("bwt", "lcp", "sa"))
+        bwt.write(back[0])
+        common.write(np.zeros(m, np.uint16))
+        number.write(np.arange(m, dtype=np.int64) * width)
+        at = np.arange(m)  # where the suffix inserted last is, by text
+        who = np.arange(m)
+        for j in range(width - 1):
+            live = back[j, who] > 0
+            at, who = at[live], who[live]
+            if not len(who):
+                break
+            b, lcp, num = bwt.read(), common.read(), number.read()
+            c = back[j, who].astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            first = np.cumsum(np.bincount(b + 1, minlength=len(symbols) + 3))  # of BWT symbols under c: first[c]
+            idx = np.empty(len(b), np.int64)
+            idx[order] = np.arange(len(b))
+            idx = idx[at]
+            new = m + idx - first[1]
+            ext = np.append(lcp, 0)
+
+            def least(lo: np.ndarray, hi: np.ndarray, ext: np.ndarray = ext) -> np.ndarray:
+                """min(lcp[lo:hi]); starts fall, so that no run but these is read."""
+                if not len(lo):
+                    return np.zeros(0, np.int64)
+                down = np.argsort(-lo, kind="stable")
+                out = np.empty(len(lo), np.int64)
+                out[down] = np.minimum.reduceat(ext, np.stack([lo[down], hi[down]], 1).ravel())[::2]
+                return out
+
+            up = np.flatnonzero(idx > first[c])
+            above = np.zeros(len(who), np.int64)
+            above[up] = np.minimum(1 + least(order[idx[up] - 1] + 1, at[up] + 1), length)
+            dn = np.flatnonzero(idx + 1 < first[c + 1])
+            below = np.minimum(1 + least(at[dn] + 1, order[idx[dn] + 1] + 1), length)
+            size = len(b) + len(who)
+            old = np.ones(size, bool)
+            old[new] = False
+            merged = []
+            for have, put in ((b, back[j + 1, who]), (lcp, above), (num, who * width + j + 1)):
+                x = np.empty(size, have.dtype)
+                x[old] = have
+                x[new] = put
+                merged.append(x)
+            after = new[dn] + 1
+            stay = old[after]  # a new suffix below has its own value already
+            merged[1][after[stay]] = below[stay]
+            for column, x in zip((bwt, common, number), merged, strict=True):
+                column.write(x)
+            at = new
+        lcp, num = common.read(), number.read()
+    dup = lcp >= length
+    dup[:-1] |= dup[1:]
+    found = num[dup]
+    text = found // width
+    return text, sizes[text] - found % width
+
+
+def block(length: int) -> int:
+    """Bytes of a symbol of the collections."""
+    return next(b for b in (8, 4, 2, 1) if length % b == 0)
+
+
+def repeated_windows(segs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(part, start) of each window of the parts that another one equals.
+
+    A part joins the collection once for each byte phase, as a text of blocks, so that each window starts a
+    suffix of one of its texts: rounds are fewer by the bytes of a block, and as many suffixes are inserted.
+    """
+    size = block(length)
+    texts, part, start = [], [], []
+    for k, seg in enumerate(segs):
+        for r in range(min(size, len(seg) - length + 1)):
+            n = (len(seg) - r) // size
+            texts.append(np.frombuffer(seg, f"<u{size}", n, r))
+            part.append(k)
+            start.append(r)
+    text, at = repeated(texts, length // size)
+    return np.array(part, np.int64)[text], np.array(start, np.int64)[text] + at * size
+
+
+def _collections(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Parts in order of their anchors: the repeated windows of those not yet decided."""
+    segs: list[bytes] = []
+    keys: list[tuple] = []
+    last = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows, los, alone = (np.array(x) for x in zip(*keys, strict=True))
+        text, place = repeated_windows(segs, length)
+        keep = alone[text]
+        text, place = text[keep], place[keep]
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        start = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(place, prepend=-9) != 1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[text[start]], pa.int64()), pa.array((los[text[start]] + place[start]).astype(np.int32)), pa.array(np.diff(start, append=len(text)).astype(np.int16))], ["_row", "lo", "n"])
+
+    for batch in batches:
+        for h, seg, row, lo, c in zip(*(batch.column(x).to_pylist() for x in ("h", "seg", "_row", "lo", "c")), strict=True):
+            if h != last and len(segs) >= GATHER:
+                yield from done()
+                segs, keys = [], []
+            last = h
+            segs.append(seg)
+            keys.append((row, lo, c == 1))
+    if segs:
+        yield from done()
+
+
+def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the parts asked for."""
+    for batch in batches:
+        for part in slices(batch, "_text"):
+            out: list[tuple] = []
+            for row, text, asked in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), part.column("asked").to_pylist(), strict=True):
+                raw = text.encode()
+                out += [(x["h"], x["g"], raw[x["lo"] : x["lo"] + x["n"] + length - 1], row, x["lo"], x["c"]) for x in asked]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["h", "g", "seg", "_row", "lo", "c"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for seg, row, lo, c in zip(*(batch.column(x).to_pylist() for x in ("seg", "_row", "lo", "c")), strict=True):
+            n = len(seg) - length + 1
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(seg[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array(np.full(n, row)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(np.full(n, c))], ["key", "_row", "lo", "c"])
+
+
+def _by_size(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(_row, cover): runs (lo, n) of starts, in bytes of the text, of windows that start elsewhere too.
+
+    1. Each text is cut into parts by anchors. 2. Parts whose anchor occurs once hold no repeat; parts that
+    are equal as a whole, bytes and anchor place, are repeats without more ado, however many. 3. The rest, parts
+    that share an anchor but not all bytes (where repeats begin and end), go by anchor into collections with
+    one copy of each equal part, for repeated(). An anchor with over COLLECTION different parts is matched by
+    the digest of each window instead, which splits it over all tasks.
+    """
+    spark = rows.sparkSession
+    parts = materialize(rows.mapInArrow(lambda b: _parts(b, length), "h long, digest long, _row long, lo int, n short"), "op1-parts")
+    twice = parts.groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("c > 1").select("h", (F.col("a") != F.col("z")).alias("mixed"))
+    met = materialize(parts.join(twice, "h"), "op1-met")
+    forget(parts)
+    mixed = met.where("mixed")
+    kinds = materialize(mixed.groupBy("h", "digest").agg(F.count("*").alias("c"), F.min(F.struct("_row", "lo", "n")).alias("x")).select("h", "digest", "c", "x.*"), "op1-kinds")
+    groups = kinds.groupBy("h").agg(F.count("*").alias("g"), F.min("c").alias("least")).where("least = 1").select("h", "g")
+    asked = materialize(kinds.join(groups, "h").groupBy("_row").agg(F.collect_list(F.struct("h", "g", "lo", "n", "c")).alias("asked")), "op1-asked")
+    segments = materialize(rows.join(_by_size(asked), "_row").mapInArrow(lambda b: _fetch(b, length), "h long, g long, seg binary, _row long, lo int, c long"), "op1-segments")
+    edges = segments.where(F.col("g") <= COLLECTION).drop("g").repartition(partitions(spark), "h").sortWithinPartitions("h", "_row", "lo").mapInArrow(lambda b: _collections(b, length), "_row long, lo int, n short")
+    hot = segments.where(F.col("g") > COLLECTION)
+    equal = met.where("not mixed").select("_row", "lo", "n").union(mixed.join(kinds.where("c > 1").select("h", "digest"), ["h", "digest"]).select("_row", "lo", "n"))
+    found = equal.union(edges)
+    if not hot.isEmpty():
+        each = hot.mapInArrow(lambda b: _digests(b, length), "key binary, _row long, lo int, c long")
+        found = found.union(each.where("c = 1").join(each.groupBy("key").count().where("count > 1"), "key").select("_row", "lo", F.lit(1).cast("short").alias("n")))
+    return materialize(found.groupBy("_row").agg(F.collect_list(F.struct("lo", "n")).alias("cover")), "op1-spans")
+
+
+def _kept(text: str, cover: list | None, length: int) -> tuple[bytes, int, int, int]:
+    """(kept bytes, bytes, removed, maximal removed runs)."""
+    raw = text.encode()
+    if not cover:
+        return raw, len(raw), 0, 0
+    change = np.zeros(len(raw) + 1, np.int64)
+    lo = np.array([x["lo"] for x in cover])
+    np.add.at(change, lo, 1)
+    np.add.at(change, lo + np.array([x["n"] for x in cover]) + length - 1, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+
+
+def _cover(rows: DataFrame, length: int) -> DataFrame:
+    return rows.join(_by_size(spans(rows, length)), "_row", "left")
+
+
+def substring_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """A row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Every byte covered by a `length`-byte string that also starts elsewhere (same row included) goes, each
+    copy of it. Null text is empty; texts under `length` bytes lose nothing. Rows that share an id or a text
+    are documents each. A null id stays null. Other columns are not read. No documents: no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                out = [_kept(t, c, length) for t, c in zip(part.column("_text").to_pylist(), part.column("cover").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), *(pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3)), pa.array([hashlib.sha256(x[0]).hexdigest() for x in out])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _cover(rows_of(docs, id_col, text_col), length).select("_id", "_text", "cover").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The documents, with all their columns, whose texts lose the repeats; broken characters at the cuts go too.
+
+    A null text stays null. n_chars and other columns stay as they are.
+    """
+    schema = docs.schema
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    cover = spans(rows_of(docs, id_col, text_col), length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None or not c else _kept(t, c, length)[0].decode(errors="ignore") for t, c in zip(batch.column(text_col).to_pylist(), batch.column("cover").to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return numbered.join(_by_size(cover), "_row", "left").drop("_row").mapInArrow(run, schema)
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_repeats(table(spark, sf_dir, "documents"))
