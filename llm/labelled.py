@@ -1,0 +1,23 @@
+"""Labelled samples for the classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    """Whether crc32(id as text) mod folds is fold; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def sample(rows: DataFrame, labels: DataFrame, label: str, out: Column, each: tuple[int, int], label_id: str = "doc_id") -> DataFrame:
+    """(_text, y) of at most each[y] labelled rows of _row, _id, _text that are not held out, in hash order.
+
+    Labels other than 0 and 1, and null ids, are left out; labels that repeat an id count once.
+    """
+    marks = labels.select(labels[label_id].alias("_id"), labels[label].cast("int").alias("y")).where("y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
+    ids = marks.where(~out)
+    order = F.xxhash64(F.col("_id"))
+    picked = ids.where("y = 0").orderBy(order, "_id").limit(each[0]).union(ids.where("y = 1").orderBy(order, "_id").limit(each[1]))
+    return rows.join(F.broadcast(picked), "_id").select("_id", "_row", "_text", "y")
