@@ -23,7 +23,7 @@ STREAMS = 2
 # Fixed values of the Ogg page format (RFC 3533).
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
 _PAGE = struct.Struct("<4sBBqIIIB")
-_HEADER = struct.Struct("<8sBBHIQ")
+_HEADER = struct.Struct("<8sBBIIQ")
 _MAGIC = b"PCM8U\0\0\0"
 _REVERSE = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
