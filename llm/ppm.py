@@ -1,0 +1,205 @@
+"""Language-model scores by prediction by partial matching over bytes, beside a smoothed word unigram base."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Words, flat, materialize, rows_of, slices, table
+from .labelled import held_out
+
+#: Bytes of the longest context.
+ORDER = 5
+#: Nodes of the trie over all orders, at most (about 80 MB); the count from which n-grams are kept follows from it.
+NODES = 2_000_000
+#: Distinct training words up to which their counts are broadcast (64 MB); beyond, they are joined.
+BROADCAST_WORDS = 4_000_000
+#: The symbol before and after each text.
+END = 256
+_END_WORD = np.uint64(0x5851F42D4C957F2D)
+
+
+def _symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of ORDER + 1 symbols, 9 bits each, ending at each byte and each text's end, and texts' offsets in them."""
+    n = len(offsets) - 1
+    sizes = np.diff(offsets)
+    s = np.full(len(raw) + n * (ORDER + 1), END, np.int64)
+    s[np.arange(len(raw)) + np.repeat(ORDER + np.arange(n) * (ORDER + 1), sizes)] = raw
+    keys = np.zeros(len(s) - ORDER if len(s) else 0, np.int64)
+    for i in range(ORDER + 1):
+        keys = (keys << 9) | s[i : len(s) - ORDER + i]
+    wanted = np.ones(len(keys), bool)
+    ends = offsets[1:-1] + np.arange(n - 1) * (ORDER + 1) + 1  # the first key after each text but the last
+    for i in range(ORDER):  # keys that end in the next text's leading symbols
+        wanted[ends + i] = False
+    return keys[wanted], offsets + np.arange(n + 1)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n) of a task's training texts: kind 0 byte n-grams of the longest order, kind 1 words and ends."""
+    have: dict[int, list] = {0: [], 1: []}
+
+    def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*have[kind], strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
+
+    for batch in batches:
+        for part in slices(batch, "_text"):
+            raw, offsets = flat(part.column("_text"))
+            have[0].append(np.unique(_symbols(raw, offsets)[0], return_counts=True))
+            words, n = np.unique(Words(raw, offsets, lower=True).hashes(), return_counts=True)
+            have[1].append((np.append(words, _END_WORD).view(np.int64), np.append(n, len(offsets) - 1)))
+            for kind in (0, 1):
+                if len(have[kind]) > 1:
+                    have[kind] = [merged(kind)]
+    for kind in (0, 1):
+        if have[kind]:
+            keys, n = merged(kind)
+            for at in range(0, len(keys), 100_000):
+                k = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[at : at + 100_000].astype(np.int64))], ["kind", "key", "n"])
+
+
+class Trie:
+    """Contexts of each order as sorted arrays, with escape estimation (method D) and symbol exclusion.
+
+    A symbol seen after a longer context is seen after its suffix, so on escape from a context the symbols
+    seen there are excluded from the next order: what remains there is a number of the longer context.
+    """
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
+        """grams[k]: sorted keys of k + 1 symbols (context, then symbol) and their counts."""
+        self.grams, self.contexts = grams, []
+        for k, (keys, n) in enumerate(grams):
+            context = keys >> 9
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            total = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
+            kinds = np.diff(first, append=len(keys)).astype(np.float64)
+            rest_total, rest_kinds = np.zeros(len(first)), np.zeros(len(first))
+            if k and len(first):
+                low, low_n = grams[k - 1]
+                _, low_total, low_kinds, *_ = self.contexts[k - 1]
+                suffix = np.searchsorted(self.contexts[k - 1][0], context[first] & ((1 << 9 * (k - 1)) - 1))
+                below = low_n[np.searchsorted(low, keys & ((1 << 9 * k) - 1))]
+                rest_total = low_total[suffix] - np.add.reduceat(below, first)
+                rest_kinds = low_kinds[suffix] - kinds
+            self.contexts.append((context[first], total, kinds, rest_total, rest_kinds))
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at, -1)
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probability of the last symbol of each key after the ones before it."""
+        out = np.zeros(len(keys))
+        open_, above = np.arange(len(keys)), np.full(len(keys), -1)
+        for k in range(len(self.grams) - 1, -1, -1):
+            context, total, kinds, _, _ = self.contexts[k]
+            own = keys[open_] & ((1 << 9 * (k + 1)) - 1)
+            at = self._find(context, own >> 9)
+            t, d = total[at] if len(total) else np.zeros(len(at)), kinds[at] if len(kinds) else np.zeros(len(at))
+            if k + 1 < len(self.grams) and len(self.contexts[k + 1][0]):
+                up = above[open_]
+                t, d = np.where(up >= 0, self.contexts[k + 1][3][up], t), np.where(up >= 0, self.contexts[k + 1][4][up], d)
+            gram = self._find(self.grams[k][0], own)
+            hit = gram >= 0
+            if hit.any():
+                out[open_[hit]] += np.log10((self.grams[k][1][gram[hit]] - 0.5) / t[hit])
+            left = ~hit & (at >= 0) & (d > 0)
+            out[open_[left]] += np.log10(0.5 * d[left] / t[left])
+            above[open_] = at
+            open_ = open_[~hit]
+        seen = self.contexts[0][2][0] if len(self.contexts[0][2]) else 0
+        out[open_] -= np.log10(END + 1 - seen)
+        return out
+
+
+def learn(counts: DataFrame) -> Trie:
+    """The trie of all n-grams whose count is at least the least one with which NODES suffice."""
+    orders = [counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))]
+    for k in range(ORDER, 0, -1):
+        orders.append(orders[-1].groupBy((F.col("key").bitwiseAND((1 << 9 * k) - 1)).alias("key")).agg(F.sum("n").alias("n")))
+    nodes = orders[0].select(F.lit(ORDER).alias("k"), "key", "n")
+    for i, g in enumerate(orders[1:]):
+        nodes = nodes.union(g.select(F.lit(ORDER - 1 - i), "key", "n"))
+    nodes = materialize(nodes, "op5-nodes")
+    many = nodes.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().toPandas().sort_values("n", ascending=False)
+    fits = many["n"][many["count"].cumsum() <= NODES]
+    least = int(fits.min()) if len(fits) else 100_000
+    found = nodes.where(F.col("n") >= least).toPandas()
+    grams = []
+    for k in range(ORDER + 1):
+        own = found[found["k"] == k].sort_values("key")
+        grams.append((own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
+    return Trie(grams)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """A row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    score is the trie's log10 probability of the text's bytes and its end. Null text is empty: one token, the
+    end. A null id is not held out, so learned from. Rows that share an id are learned from and scored each.
+    Without training rows bytes are uniform. Other columns are not read. No documents: no rows.
+    """
+    spark = docs.sparkSession
+    rows = rows_of(docs, id_col, text_col).withColumn("out", held_out("_id", 5, 1))
+    counts = materialize(rows.where("not out").select("_text").mapInArrow(_counts, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "op5-counts")
+    trie = spark.sparkContext.broadcast(learn(counts))
+    words = counts.where("kind = 1")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n, scale = total["n"], np.log10(total["n"] + 0.5 * (total["v"] + 1))
+    small = total["v"] <= broadcast_words
+    known = None
+    if small:
+        found = words.select("key", "n").toPandas().sort_values("key")
+        known = spark.sparkContext.broadcast((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+    fields = ["_row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "words", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                raw, offsets = flat(part.column("_text"))
+                docs_, (keys, edges) = part.num_rows, _symbols(raw, offsets)
+                kinds, at = np.unique(keys, return_inverse=True)
+                logs = np.add.reduceat(trie.value.log10(kinds)[at], edges[:-1])
+                view = Words(raw, offsets, lower=True)
+                tokens = np.diff(view.first) + 1
+                owner = np.concatenate([np.repeat(np.arange(docs_), tokens - 1), np.arange(docs_)])
+                token = np.concatenate([view.hashes(), np.full(docs_, _END_WORD)]).view(np.int64)
+                base, met, lists, times = np.zeros(docs_), np.zeros(docs_, np.int64), pa.nulls(docs_, pa.list_(pa.int64())), pa.nulls(docs_, pa.list_(pa.int64()))
+                if small:
+                    unique, back = np.unique(token, return_inverse=True)
+                    place = Trie._find(known.value[0], unique)
+                    c = np.where(place >= 0, known.value[1][place], 0)[back] if len(known.value[0]) else np.zeros(len(token), np.int64)
+                    base, met = np.bincount(owner, np.log10(c + 0.5) - scale, docs_), np.bincount(owner, c > 0, docs_).astype(np.int64)
+                else:
+                    order = np.lexsort((token, owner))
+                    o, t = owner[order], token[order]
+                    first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])]))
+                    ends = pa.array(np.searchsorted(o[first], np.arange(docs_ + 1)).astype(np.int32))
+                    lists, times = pa.ListArray.from_arrays(ends, pa.array(t[first])), pa.ListArray.from_arrays(ends, pa.array(np.diff(first, append=len(t))))
+                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_id"), part.column("out"), pa.array(tokens.astype(np.int64)), pa.array(met), pa.array(np.full(docs_, n, np.int64)), pa.array(base), pa.array(logs), lists, times], fields)
+
+    schema = "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, words array<long>, times array<long>"
+    out = rows.mapInArrow(run, schema)
+    if small:
+        return out.drop("_row", "words", "times")
+    out = materialize(out, "op5-scores")
+    each = out.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", F.col("x.words").alias("key"), F.col("x.times").alias("times"))
+    c = F.coalesce("n", F.lit(0))
+    sums = each.join(words.select("key", "n"), "key", "left").groupBy("_row").agg(F.sum(F.col("times") * (F.log10(c + 0.5) - float(scale))).alias("base_score"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"))
+    return out.drop("words", "times", "base_score", "n_known").join(sums, "_row").select(*fields[1:8])
+
+
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
