@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, decontaminate, jaccard, ogg, packing, ppm, quality, suffix, toxicity
+from . import ans, blocks, decontaminate, jaccard, ogg, packing, ppm, quality, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for module in (suffix, decontaminate, quality, jaccard, ppm, toxicity, ogg, ans, packing):
+    for module in (suffix, blocks, decontaminate, quality, jaccard, ppm, toxicity, ogg, ans, packing):
         out |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
     return out
 
