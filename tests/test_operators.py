@@ -66,7 +66,7 @@ def test_waterfall(spark):
 
 
 def test_json_and_letters(spark):
-    assert jsonval.balanced('x {"a": "}", "b": {}} y') == '{"a": "}", "b": {}}' and jsonval.balanced("{") is None and jsonval.balanced('{ "a {"b": 1}') is None
+    assert jsonval.balanced('x {"a": "}", "b": {}} y') == '{"a": "}", "b": {}}' and jsonval.balanced("{") is None and jsonval.balanced('{ "a {"b": 1}') == '{"b": 1}'
     assert jsonval.rewritten("B is correct. A cell, unlike (D) or vitamin B.", "B", "D") == "D is correct. A cell, unlike (B) or vitamin B."
     assert jsonval.rewritten("Unlike B, it grows.", "B", "C") is None
     block = F.lit('{"stem": "What is it that is asked?", "choices": {"A": "a", "B": "b", "C": "c", "D": "d"}, "answer": "E", "explanation": "x", "lo_id": "l", "difficulty": "easy", "more": 1}')
