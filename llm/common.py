@@ -66,6 +66,13 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts take about `most` bytes; a longer text stands alone."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
