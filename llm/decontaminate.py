@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, table
+from .common import rows_of, spare, table
 
 WINDOW = 13
 #: A document is contaminated where hits are at least one in this many words.
@@ -76,7 +76,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(hits(docs, benchmark, **how).where("contaminated").select("_row"), "_row", "left_anti").drop("_row")
+    row = spare(docs, "_row")
+    gone = hits(docs, benchmark, **how).where("contaminated").select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
