@@ -14,7 +14,7 @@ from .common import BYTE_CODE, LOWER, SPACE, STEP, flat, rows_of, slices, table
 from .labelled import held_out, sample
 
 #: Labelled documents that are learned from, at most: not toxic, toxic.
-SAMPLE = (4500, 1500)
+SAMPLE = (3000, 1000)
 #: Byte lengths of the n-grams, their buckets, embedding width.
 GRAMS, BITS, WIDTH = (3, 4, 5, 6), 18, 4
 #: An n-gram is learned if at least this share of the sample's documents hold it (and at least 4 do).
@@ -64,8 +64,9 @@ class Bags:
         for k, b in self.buckets():
             count = np.maximum(self.ends - self.starts + 3 - k, 0)
             at = np.repeat(self.starts - 1 - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            word.append(np.repeat(np.arange(len(count)), count))
-            bucket.append(b[at])
+            word.append(np.repeat(np.arange(len(count), dtype=np.int32), count))
+            bucket.append(b[at].astype(np.int32))
+            del at
         return np.concatenate(word), np.concatenate(bucket)
 
 
@@ -92,10 +93,11 @@ def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     member, bucket = bags.members()
     holds = np.bincount(bucket, np.bincount(word, minlength=len(known))[member], 1 << BITS)
     used = np.flatnonzero(holds >= max(4, LEAST * len(texts)))
-    number = np.full(1 << BITS, -1)
+    number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
     keep = number[bucket] >= 0
     member, gram = member[keep], number[bucket[keep]]
+    del bucket, keep
     rng = np.random.default_rng(SEED)
     bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     state = [rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.1, (WIDTH, 2)), np.array([bias])]
@@ -120,22 +122,24 @@ def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     return weight, float(state[2][0])
 
 
-def scores(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+def scores(texts: pa.Array, model: tuple[np.ndarray, float] | None) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
     bags = Bags(*flat(texts))
     z = pooled(bags.word_scores(model[0]), bags.doc, bags.docs)[0]
     return 1 / (1 + np.exp(-np.clip(z + model[1], -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> tuple[np.ndarray, float] | None:
     """Learn from at most SAMPLE labelled documents that are not held out; the sample's size bounds the driver.
 
-    Without documents of both labels every score is 0.
+    None, and scores of 0, without documents of both labels.
     """
     rows = rows_of(docs, id_col, text_col)
     found = sample(rows, labels, "toxic", held_out("_id", 5, 0) if out is None else out, SAMPLE).toPandas().sort_values(["_id", "_row"], kind="stable")
     y = found["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
-        return np.zeros(1 << BITS, np.float32), -1e9
+        return None
     return train(found["_text"].tolist(), y)
 
 
