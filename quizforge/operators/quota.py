@@ -75,3 +75,9 @@ def shuffle_options(options: Column, key: Column, letter: Column, seed: str, id_
     rest = F.filter(F.transform(order, lambda s: s["o"]), lambda o: o != key)
     places = F.filter(F.array(*map(F.lit, LETTERS)), lambda x: x != letter)
     return F.map_from_entries(F.array_sort(F.concat(F.arrays_zip(places.alias("k"), rest.alias("v")), F.array(F.struct(letter.alias("k"), key.alias("v"))))))
+
+
+def round_robin(pool: DataFrame, section: str, seed: str, rounds: int, n: int, screen: Column, id_col: str = "id") -> DataFrame:
+    """One of each section a round, in drawn order within sections and section order within rounds: the first n that pass the screen."""
+    ranked = pool.withColumn("_round", F.row_number().over(Window.partitionBy(section).orderBy(draw(seed, id_col), id_col))).where(F.col("_round") <= rounds)
+    return ranked.where(screen).orderBy("_round", section).limit(n).drop("_round")
