@@ -18,7 +18,10 @@ D = Duck()
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name == "documents" and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        df = df.repartition(spark.sparkContext.defaultParallelism)  # text is dear: a few files would keep a few cores busy
+    return df
 
 
 def _from_sql(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
