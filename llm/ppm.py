@@ -14,9 +14,9 @@ from .labelled import held_out
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes of the trie over all orders, at most (about 80 MB); the count from which n-grams are kept follows from it.
-NODES = 2_000_000
-#: Distinct training words up to which their counts are broadcast (64 MB); beyond, they are joined.
+#: Nodes of the trie over all orders, at most (about 30 MB); the count from which n-grams are kept follows from it.
+NODES = 1_000_000
+#: Distinct training words up to which their counts are broadcast (48 MB); beyond, they are joined.
 BROADCAST_WORDS = 4_000_000
 #: The symbol before and after each text.
 END = 256
@@ -80,15 +80,15 @@ class Trie:
         for k, (keys, n) in enumerate(grams):
             context = keys >> 9
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
-            kinds = np.diff(first, append=len(keys)).astype(np.float64)
-            rest_total, rest_kinds = np.zeros(len(first)), np.zeros(len(first))
+            total = np.add.reduceat(n.astype(np.float64), first) if len(first) else np.zeros(0)
+            kinds = np.diff(first, append=len(keys)).astype(np.float32)
+            rest_total, rest_kinds = np.zeros(len(first)), np.zeros(len(first), np.float32)
             if k and len(first):
                 low, low_n = grams[k - 1]
                 _, low_total, low_kinds, *_ = self.contexts[k - 1]
                 suffix = np.searchsorted(self.contexts[k - 1][0], context[first] & ((1 << 9 * (k - 1)) - 1))
                 below = low_n[np.searchsorted(low, keys & ((1 << 9 * k) - 1))]
-                rest_total = low_total[suffix] - np.add.reduceat(below, first)
+                rest_total = low_total[suffix] - np.add.reduceat(below.astype(np.float64), first)
                 rest_kinds = low_kinds[suffix] - kinds
             self.contexts.append((context[first], total, kinds, rest_total, rest_kinds))
 
@@ -136,11 +136,12 @@ def learn(counts: DataFrame) -> Trie:
     many = nodes.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().toPandas().sort_values("n", ascending=False)
     fits = many["n"][many["count"].cumsum() <= NODES]
     least = int(fits.min()) if len(fits) else 100_000
-    found = nodes.where(F.col("n") >= least).toPandas()
     grams = []
-    for k in range(ORDER + 1):
-        own = found[found["k"] == k].sort_values("key")
-        grams.append((own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
+    for k in range(ORDER + 1):  # an order at a time, to hold little on the driver
+        own = nodes.where((F.col("k") == k) & (F.col("n") >= least)).select("key", "n").toArrow()
+        keys, n = own.column("key").to_numpy(), own.column("n").to_numpy()
+        order = np.argsort(keys)
+        grams.append((keys[order], n[order].astype(np.uint32) if len(n) and n.max() < 1 << 32 else n[order]))
     return Trie(grams)
 
 
@@ -161,8 +162,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     small = total["v"] <= broadcast_words
     known = None
     if small:
-        found = words.select("key", "n").toPandas().sort_values("key")
-        known = spark.sparkContext.broadcast((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+        found = words.select("key", "n").toArrow()
+        keys, c = found.column("key").to_numpy(), found.column("n").to_numpy()
+        del found
+        order = np.argsort(keys)
+        known = spark.sparkContext.broadcast((keys[order], c[order].astype(np.uint32 if len(c) and c.max() < 1 << 32 else np.int64)))
+        del keys, c, order
     fields = ["_row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "words", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +185,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
                 if small:
                     unique, back = np.unique(token, return_inverse=True)
                     place = Trie._find(known.value[0], unique)
-                    c = np.where(place >= 0, known.value[1][place], 0)[back] if len(known.value[0]) else np.zeros(len(token), np.int64)
+                    c = np.where(place >= 0, known.value[1][place], 0).astype(np.int64)[back] if len(known.value[0]) else np.zeros(len(token), np.int64)
                     base, met = np.bincount(owner, np.log10(c + 0.5) - scale, docs_), np.bincount(owner, c > 0, docs_).astype(np.int64)
                 else:
                     order = np.lexsort((token, owner))
