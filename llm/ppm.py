@@ -14,8 +14,8 @@ from .labelled import held_out
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes of the trie over all orders, at most (about 30 MB); the count from which n-grams are kept follows from it.
-NODES = 1_000_000
+#: Nodes of the trie over all orders, at most (about 60 MB); the count from which n-grams are kept follows from it.
+NODES = 2_000_000
 #: Distinct training words up to which their counts are broadcast (48 MB); beyond, they are joined.
 BROADCAST_WORDS = 4_000_000
 #: The symbol before and after each text.
