@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, STEP, flat, forget, materialize, mix, partitions, powers, rows_of, slices, table
+from .common import BYTE_CODE, STEP, flat, forget, materialize, mix, partitions, powers, rows_of, slices, spare, table
 
 #: Bytes of a repeat.
 LENGTH = 200
@@ -24,8 +24,8 @@ COLLECTION = 16_384
 GATHER = 256
 #: Bytes of an array of a collection from which it is a file.
 SPILL = 4 << 20
-#: Rows up to which requests and spans are broadcast (about 40 MB).
-BROADCAST_ROWS = 1_000_000
+#: Documents up to which their lists of requests or spans are broadcast.
+BROADCAST_ROWS = 20_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CODE2 = mix(BYTE_CODE)
 _STEP2 = np.uint64(0xA0761D6478BD642F)
@@ -84,11 +84,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     upto[chosen + 1] = 1
     rank = np.cumsum(upto)[p + span] - 1
     want = least[p]
-    while True:
-        wrong = np.flatnonzero(h[chosen[rank]] != want)
-        if not len(wrong):
-            break
+    wrong = np.flatnonzero(h[chosen[rank]] != want)
+    while len(wrong):
         rank[wrong] -= 1
+        wrong = wrong[h[chosen[rank[wrong]]] != want[wrong]]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(rank) != 0) | (np.diff(p) != 1)]))
     windows = np.diff(first, append=len(p))
     lo, q = p[first], chosen[rank[first]]
@@ -103,7 +102,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
 
 def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own in slices(batch, "_text"):
+        for own in slices(batch, "_text", 1 << 20):
             raw, offsets = flat(own.column("_text"))
             value, lo, windows, h, digest = anchors(raw, offsets, length)
             rows = np.asarray(own.column("_row"))[value]
@@ -274,8 +273,8 @@ def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(seg[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array(np.full(n, row)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(np.full(n, c))], ["key", "_row", "lo", "c"])
 
 
-def _by_size(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _by_size(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -290,13 +289,14 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = rows.sparkSession
     parts = materialize(rows.mapInArrow(lambda b: _parts(b, length), "h long, digest long, _row long, lo int, n short"), "op1-parts")
     twice = parts.groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("c > 1").select("h", (F.col("a") != F.col("z")).alias("mixed"))
+    twice = materialize(twice, "op1-twice")  # a plain side, so that the join's hot anchors can be split
     met = materialize(parts.join(twice, "h"), "op1-met")
     forget(parts)
     mixed = met.where("mixed")
     kinds = materialize(mixed.groupBy("h", "digest").agg(F.count("*").alias("c"), F.min(F.struct("_row", "lo", "n")).alias("x")).select("h", "digest", "c", "x.*"), "op1-kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("g"), F.min("c").alias("least")).where("least = 1").select("h", "g")
     asked = materialize(kinds.join(groups, "h").groupBy("_row").agg(F.collect_list(F.struct("h", "g", "lo", "n", "c")).alias("asked")), "op1-asked")
-    segments = materialize(rows.join(_by_size(asked), "_row").mapInArrow(lambda b: _fetch(b, length), "h long, g long, seg binary, _row long, lo int, c long"), "op1-segments")
+    segments = materialize(rows.join(_by_size(asked, 10 * BROADCAST_ROWS), "_row").mapInArrow(lambda b: _fetch(b, length), "h long, g long, seg binary, _row long, lo int, c long"), "op1-segments")
     edges = segments.where(F.col("g") <= COLLECTION).drop("g").repartition(partitions(spark), "h").sortWithinPartitions("h", "_row", "lo").mapInArrow(lambda b: _collections(b, length), "_row long, lo int, n short")
     hot = segments.where(F.col("g") > COLLECTION)
     equal = met.where("not mixed").select("_row", "lo", "n").union(mixed.join(kinds.where("c > 1").select("h", "digest"), ["h", "digest"]).select("_row", "lo", "n"))
@@ -346,17 +346,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null. n_chars and other columns stay as they are.
     """
-    schema = docs.schema
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    cover = spans(rows_of(docs, id_col, text_col), length)
+    schema, row, found = docs.schema, spare(docs, "_row"), spare(docs, "cover")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    cover = spans(rows_of(docs, id_col, text_col), length).select(F.col("_row").alias(row), F.col("cover").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not c else _kept(t, c, length)[0].decode(errors="ignore") for t, c in zip(batch.column(text_col).to_pylist(), batch.column("cover").to_pylist(), strict=True)]
+            texts = [t if t is None or not c else _kept(t, c, length)[0].decode(errors="ignore") for t, c in zip(batch.column(text_col).to_pylist(), batch.column(found).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return numbered.join(_by_size(cover), "_row", "left").drop("_row").mapInArrow(run, schema)
+    return numbered.join(_by_size(cover), row, "left").drop(row).mapInArrow(run, schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
