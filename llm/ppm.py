@@ -6,16 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, flat, materialize, rows_of, slices, table
+from .common import STEP_BYTES, Words, flat, materialize, mix, partitions, rows_of, slices, table
 from .labelled import held_out
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes of the trie over all orders, at most (about 60 MB); the count from which n-grams are kept follows from it.
-NODES = 2_000_000
+#: Bytes of text that meet the probabilities of their n-grams at a time.
+CHUNK_BYTES = 8 * STEP_BYTES
+#: Distinct n-grams of the longest order in a chunk, about.
+CHUNK_KEYS = 4_000_000
+#: Parts of the trie for each shuffle partition.
+PARTS = 4
+#: Numbers in a row, at most, where n-grams are dealt by part.
+PACK = 500
+GRAMS, WORDS, PAIRS, TEXTS = range(4)
+COLUMNS = ["kind", "chunk", "part", "keys", "n", "_row", "_id", "_text", "out"]
 #: Distinct training words up to which their counts are broadcast (48 MB); beyond, they are joined.
 BROADCAST_WORDS = 4_000_000
 #: The symbol before and after each text.
@@ -39,32 +49,102 @@ def _symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[wanted], offsets + np.arange(n + 1)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n) of a task's training texts: kind 0 byte n-grams of the longest order, kind 1 words and ends."""
-    have: dict[int, list] = {0: [], 1: []}
+def _merged(have: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*have, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
-    def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) for x in zip(*have[kind], strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(n, first)
+
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Binary values of 8 bytes a number, cut at edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(packs: pa.Array, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all packs, and where each begins."""
+    raw, offsets = flat(packs)
+    return np.frombuffer(raw.tobytes(), kind), offsets // 8
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The trie's part of each key: a hash of the two symbols before the last."""
+    return (mix(((keys >> 9) & ((1 << 18) - 1)).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a task by chunk: TEXTS as they are, GRAMS all n-grams of the longest order, by part of the trie, PAIRS and
+    WORDS (with ends) of training texts.
+
+    n counts training texts alone, so an n-gram of held-out texts only has 0. A chunk ends after CHUNK_BYTES or CHUNK_KEYS.
+    """
+    have: dict[int, list] = {GRAMS: [], WORDS: []}
+    chunk, size = TaskContext.get().partitionId() << 33, 0
+
+    def packs(kind: int, keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        within = np.arange(len(keys)) - np.repeat(start, np.diff(start, append=len(keys)))
+        first = np.flatnonzero(within % PACK == 0)
+        for at in range(0, len(first), 200):
+            edges = np.append(first[at : at + 200], first[at + 200] if at + 200 < len(first) else len(keys))
+            m, here = len(edges) - 1, slice(edges[0], edges[-1])
+            nulls = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.bool_())]
+            values = [_packed(x[here].astype(np.int64), edges - edges[0]) for x in (keys, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(np.full(m, chunk)), pa.array(part[edges[:-1]]), *values, *nulls], COLUMNS)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for kind in (GRAMS, WORDS):
+            if have[kind]:
+                keys, n = _merged(have[kind])
+                have[kind] = []
+                if kind == WORDS:
+                    yield from packs(WORDS, keys, n, np.zeros(len(keys), np.int64))
+                    continue
+                if (n > 0).any():
+                    two = _merged([(keys[n > 0] & ((1 << 18) - 1), n[n > 0])])
+                    yield from packs(PAIRS, *two, np.zeros(len(two[0]), np.int64))
+                part = _part(keys, parts)
+                order = np.argsort(part, kind="stable")
+                yield from packs(GRAMS, keys[order], n[order], part[order])
 
     for batch in batches:
-        for part in slices(batch, "_text"):
-            raw, offsets = flat(part.column("_text"))
-            have[0].append(np.unique(_symbols(raw, offsets)[0], return_counts=True))
-            words, n = np.unique(Words(raw, offsets, lower=True).hashes(), return_counts=True)
-            have[1].append((np.append(words, _END_WORD).view(np.int64), np.append(n, len(offsets) - 1)))
-            for kind in (0, 1):
-                if len(have[kind]) > 1:
-                    have[kind] = [merged(kind)]
-    for kind in (0, 1):
-        if have[kind]:
-            keys, n = merged(kind)
-            for at in range(0, len(keys), 100_000):
-                k = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[at : at + 100_000].astype(np.int64))], ["kind", "key", "n"])
+        for part in slices(batch, "_text", STEP_BYTES >> 2):
+            m = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, TEXTS, np.int8)), pa.array(np.full(m, chunk)), *(pa.nulls(m, t) for t in (pa.int64(), pa.binary(), pa.binary())), *(part.column(c) for c in COLUMNS[5:])], COLUMNS)
+            for held in (False, True):
+                own = part.filter(pc.equal(part.column("out"), held))
+                if not own.num_rows:
+                    continue
+                raw, offsets = flat(own.column("_text"))
+                size += len(raw)
+                keys, n = np.unique(_symbols(raw, offsets)[0], return_counts=True)
+                have[GRAMS].append((keys, np.zeros_like(n) if held else n))
+                if not held:
+                    words, n = np.unique(Words(raw, offsets, lower=True).hashes(), return_counts=True)
+                    have[WORDS].append((np.append(words, _END_WORD).view(np.int64), np.append(n, len(offsets) - 1)))
+            for kind in (GRAMS, WORDS):
+                if sum(len(x[0]) for x in have[kind][1:]) > 1_000_000:
+                    have[kind] = [_merged(have[kind])]
+            if size >= CHUNK_BYTES or len(have[GRAMS][0][0]) >= CHUNK_KEYS:
+                yield from done()
+                chunk, size = chunk + 1, 0
+    yield from done()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch.column(c))[0]) for c in ("keys", "n")], ["key", "n"])
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(part, its rows) of a batch in order of parts."""
+    of = batch.column("part").to_numpy()
+    edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > start:
+            yield int(of[start]), batch.slice(start, end - start)
 
 
 class Trie:
@@ -124,25 +204,63 @@ class Trie:
         return out
 
 
-def learn(counts: DataFrame) -> Trie:
-    """The trie of all n-grams whose count is at least the least one with which NODES suffice."""
-    orders = [counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))]
-    for k in range(ORDER, 0, -1):
-        orders.append(orders[-1].groupBy((F.col("key").bitwiseAND((1 << 9 * k) - 1)).alias("key")).agg(F.sum("n").alias("n")))
-    nodes = orders[0].select(F.lit(ORDER).alias("k"), "key", "n")
-    for i, g in enumerate(orders[1:]):
-        nodes = nodes.union(g.select(F.lit(ORDER - 1 - i), "key", "n"))
-    nodes = materialize(nodes, "op5-nodes")
-    many = nodes.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    fits = many["n"][many["count"].cumsum() <= NODES]
-    least = int(fits.min()) if len(fits) else 100_000
-    grams = []
-    for k in range(ORDER + 1):  # an order at a time, to hold little on the driver
-        own = nodes.where((F.col("k") == k) & (F.col("n") >= least)).select("key", "n").toArrow()
-        keys, n = own.column("key").to_numpy(), own.column("n").to_numpy()
-        order = np.argsort(keys)
-        grams.append((keys[order], n[order].astype(np.uint32) if len(n) and n.max() < 1 << 32 else n[order]))
-    return Trie(grams)
+def logs(grams: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(part, keys, logs): the log10 probability of each distinct key of grams (part, keys, n), all of whose n-grams count.
+
+    The n-grams of three symbols and more that a key's probability takes share the two symbols before its last, so
+    the trie is built and asked in parts by these. What is shorter, at most 257 * 257 n-grams, goes to all parts.
+    """
+    spark = grams.sparkSession
+    found = pairs.toArrow().sort_by("key")
+    two = spark.sparkContext.broadcast((found.column("key").to_numpy(), found.column("n").to_numpy()))
+
+    def answers(part: int, have: list) -> pa.RecordBatch:
+        keys, n = _merged(have)
+        grams = [(keys[n > 0], n[n > 0])]
+        for k in range(ORDER, 2, -1):
+            low = (grams[-1][0] & ((1 << 9 * k) - 1), grams[-1][1])
+            grams.append(_merged([low]) if len(low[0]) else low)
+        low = (two.value[0] & 511, two.value[1])
+        grams += [two.value, _merged([low]) if len(low[0]) else low]
+        edges = np.append(np.arange(0, len(keys), PACK), len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges) - 1, part)), _packed(keys, edges), _packed(Trie(grams[::-1]).log10(keys), edges)], ["part", "keys", "logs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, have = None, []
+        for batch in batches:
+            for at, own in _runs(batch):
+                if have and at != part:
+                    yield answers(part, have)
+                    have = []
+                part = at
+                have.append(tuple(_numbers(own.column(c))[0] for c in ("keys", "n")))
+                if len(have) > 1:
+                    have = [_merged(have)]
+        if have:
+            yield answers(part, have)
+
+    return grams.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(run, "part long, keys binary, logs binary")
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, keys, logs) of each chunk's packs; those of the trie come first in each part, without a chunk."""
+    part, have, known = None, [], None
+    for batch in batches:
+        for at, own in _runs(batch):
+            if at != part:
+                part, have, known = at, [], None
+            model = own.filter(pc.is_null(own.column("chunk")))
+            if model.num_rows:
+                have.append((_numbers(model.column("keys"))[0], _numbers(model.column("logs"), np.float64)[0]))
+            own = own.filter(pc.is_valid(own.column("chunk")))
+            if not own.num_rows:
+                continue
+            if known is None:
+                keys, log = (np.concatenate(x) for x in zip(*have, strict=True))
+                order = np.argsort(keys)
+                have, known = [], (keys[order], log[order])
+            keys, edges = _numbers(own.column("keys"))
+            yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("keys"), _packed(known[1][np.searchsorted(known[0], keys)], edges)], ["chunk", "keys", "logs"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -154,9 +272,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     """
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text_col).withColumn("out", held_out("_id", 5, 1))
-    counts = materialize(rows.where("not out").select("_text").mapInArrow(_counts, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "op5-counts")
-    trie = spark.sparkContext.broadcast(learn(counts))
-    words = counts.where("kind = 1")
+    parts = PARTS * partitions(spark)
+    counts = materialize(rows.select(*COLUMNS[5:]).mapInArrow(lambda b: _counts(b, parts), "kind byte, chunk long, part long, keys binary, n binary, _row long, _id long, _text string, out boolean"), "op5-counts")
+    summed = [counts.where(F.col("kind") == k).select("keys", "n").mapInArrow(_unpacked, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")) for k in (PAIRS, WORDS)]
+    grams, words = counts.where(F.col("kind") == GRAMS), materialize(summed[1], "op5-words")
+    nodes = materialize(logs(grams.select("part", "keys", "n"), summed[0]), "op5-nodes")
+    asked = nodes.select(F.lit(None).cast("long").alias("chunk"), "part", "keys", "logs").union(grams.select("chunk", "part", "keys", F.lit(None).cast("binary")))
+    answered = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", F.asc_nulls_first("chunk")).mapInArrow(_answered, "chunk long, keys binary, logs binary")
+    texts = counts.where(F.col("kind") == TEXTS).select("chunk", *COLUMNS[5:])
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, scale = total["n"], np.log10(total["n"] + 0.5 * (total["v"] + 1))
     small = total["v"] <= broadcast_words
@@ -170,13 +293,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         del keys, c, order
     fields = ["_row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "words", "times"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        own, log = (np.concatenate([_numbers(x, kind)[0] for x in found.column(c).chunks]) for c, kind in (("keys", np.int64), ("logs", np.float64)))
+        order = np.argsort(own)
+        own, log = own[order], log[order]
+        out = []
+        for batch in texts.combine_chunks().to_batches():
+            for part in slices(batch, "_text", STEP_BYTES >> 2):
                 raw, offsets = flat(part.column("_text"))
                 docs_, (keys, edges) = part.num_rows, _symbols(raw, offsets)
                 kinds, at = np.unique(keys, return_inverse=True)
-                logs = np.add.reduceat(trie.value.log10(kinds)[at], edges[:-1])
+                sums = np.add.reduceat(log[np.searchsorted(own, kinds)][at], edges[:-1])
                 view = Words(raw, offsets, lower=True)
                 tokens = np.diff(view.first) + 1
                 owner = np.concatenate([np.repeat(np.arange(docs_), tokens - 1), np.arange(docs_)])
@@ -193,10 +320,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
                     first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])]))
                     ends = pa.array(np.searchsorted(o[first], np.arange(docs_ + 1)).astype(np.int32))
                     lists, times = pa.ListArray.from_arrays(ends, pa.array(t[first])), pa.ListArray.from_arrays(ends, pa.array(np.diff(first, append=len(t))))
-                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_id"), part.column("out"), pa.array(tokens.astype(np.int64)), pa.array(met), pa.array(np.full(docs_, n, np.int64)), pa.array(base), pa.array(logs), lists, times], fields)
+                out.append(pa.RecordBatch.from_arrays([part.column("_row"), part.column("_id"), part.column("out"), pa.array(tokens.astype(np.int64)), pa.array(met), pa.array(np.full(docs_, n, np.int64)), pa.array(base), pa.array(sums), lists, times], fields))
+        return pa.Table.from_batches(out)
 
     schema = "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, words array<long>, times array<long>"
-    out = rows.mapInArrow(run, schema)
+    out = texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
     if small:
         return out.drop("_row", "words", "times")
     out = materialize(out, "op5-scores")

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -119,6 +120,37 @@ def test_ppm(spark, texts):
             assert abs(x["base_score"] - base) < 1e-6 * abs(base) and abs(x["score"] - r["score"]) < 1e-6 * abs(r["score"])
 
 
+def test_ppm_keeps_rare_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "NODES", 100, raising=False)  # no cap on the model may change a score
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 200, raising=False)
+    rng = random.Random(3)
+    own = {i: "".join(rng.choice("abcd e\u00e9") for _ in range(rng.randrange(60))) for i in range(60)} | {60: "", 61: "zebra quiz"}
+    spans = {i: [256] * ppm.ORDER + [*t.encode(), 256] for i, t in own.items()}
+    seen: dict = {}
+    for i, s in spans.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for at in range(ppm.ORDER, len(s)):
+                for k in range(ppm.ORDER + 1):
+                    seen.setdefault(tuple(s[at - k : at]), Counter())[s[at]] += 1
+
+    def log10(context, symbol):
+        total, gone = 0.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            left = {x: n for x, n in seen.get(tuple(context[ppm.ORDER - k :]), {}).items() if x not in gone}
+            if symbol in left:
+                return total + np.log10((left[symbol] - 0.5) / sum(left.values()))
+            if left:
+                total += np.log10(0.5 * len(left) / sum(left.values()))
+            gone |= set(left)
+        return total - np.log10(257 - len(gone))
+
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    assert set(got) == set(own)
+    for i, s in spans.items():
+        assert abs(got[i] - sum(log10(s[at - ppm.ORDER : at], s[at]) for at in range(ppm.ORDER, len(s)))) < 1e-6
+
+
 def test_trie_sums_to_one():
     keys = np.sort(np.unique(np.random.default_rng(1).integers(97, 101, (400, ppm.ORDER + 1)) @ (512 ** np.arange(ppm.ORDER, -1, -1))))
     grams = [(keys, np.arange(1, len(keys) + 1))]
