@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,17 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sample(rows: DataFrame, labels: DataFrame, label: str, out: Column, each: tuple[int, int], label_id: str = "doc_id") -> DataFrame:
-    """(_text, y) of at most each[y] labelled rows of _row, _id, _text that are not held out, in hash order.
+def sample(rows: DataFrame, labels: DataFrame, label: str, out: Column, each: tuple[int, int], label_id: str = "doc_id") -> tuple[DataFrame, float]:
+    """(_text, y) of at most each[y] labelled rows of _row, _id, _text that are not held out, in hash order, and the log-odds to add.
 
-    Labels other than 0 and 1, and null ids, are left out; labels that repeat an id count once.
+    Labels other than 0 and 1, and null ids, are left out; labels that repeat an id count once. Where the labels are
+    drawn at different rates, the odds of label 1 in the sample are not those of all labelled rows: what is
+    learned from the sample lacks log(rate of 0 / rate of 1) in log-odds. 0 if both are drawn whole.
     """
     marks = labels.select(labels[label_id].alias("_id"), labels[label].cast("int").alias("y")).where("y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     ids = marks.where(~out)
+    many = dict(ids.groupBy("y").count().collect())
+    rate = [min(1.0, each[y] / many[y]) if many.get(y) else 1.0 for y in (0, 1)]
     order = F.xxhash64(F.col("_id"))
     picked = ids.where("y = 0").orderBy(order, "_id").limit(each[0]).union(ids.where("y = 1").orderBy(order, "_id").limit(each[1]))
-    return rows.join(F.broadcast(picked), "_id").select("_id", "_row", "_text", "y")
+    return rows.join(F.broadcast(picked), "_id").select("_id", "_row", "_text", "y"), math.log(rate[0] / rate[1])

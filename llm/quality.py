@@ -109,7 +109,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> Trees | None:
     """Learn from the statistics of at most SAMPLE labelled documents that are not held out. None without both labels."""
-    picked = sample(rows_of(docs, id_col, text_col), labels, "quality", held_out("_id", 3, 1) if out is None else out, SAMPLE)
+    picked, shift = sample(rows_of(docs, id_col, text_col), labels, "quality", held_out("_id", 3, 1) if out is None else out, SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = picked.mapInArrow(run, "_id long, _row long, y int, x array<double>").toPandas().sort_values(["_id", "_row"], kind="stable")
     y = found["y"].to_numpy(np.float64)
-    return train(np.stack(found["x"].tolist()), y) if len(set(y)) == 2 else None
+    if len(set(y)) < 2:
+        return None
+    trees = train(np.stack(found["x"].tolist()), y)
+    trees.base += shift  # the odds of all labelled documents, whatever the sample's
+    return trees
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,14 +133,18 @@ def scores(texts: pa.Array, model: tuple[np.ndarray, float] | None) -> np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> tuple[np.ndarray, float] | None:
     """Learn from at most SAMPLE labelled documents that are not held out; the sample's size bounds the driver.
 
+    The bias is that of all labelled documents' odds, whatever the sample's.
+
     None, and scores of 0, without documents of both labels.
     """
     rows = rows_of(docs, id_col, text_col)
-    found = sample(rows, labels, "toxic", held_out("_id", 5, 0) if out is None else out, SAMPLE).toPandas().sort_values(["_id", "_row"], kind="stable")
+    picked, shift = sample(rows, labels, "toxic", held_out("_id", 5, 0) if out is None else out, SAMPLE)
+    found = picked.toPandas().sort_values(["_id", "_row"], kind="stable")
     y = found["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return None
-    return train(found["_text"].tolist(), y)
+    weight, bias = train(found["_text"].tolist(), y)
+    return weight, bias + shift
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,6 +105,16 @@ def test_jaccard(spark, tmp_path, monkeypatch, shingle, num, small):
     assert all(got[i]["n_shingles"] == len(s) for i, s in sets.items())
 
 
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_sample_keeps_the_odds(spark, monkeypatch, module, label):
+    docs = spark.createDataFrame([(i, "the same words in each text") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], f"doc_id long, {label} int")
+    run = getattr(module, "quality" if label == "quality" else "toxicity")
+    for each in ((30, 30), (1000, 1000), (50, 20)):
+        monkeypatch.setattr(module, "SAMPLE", each)
+        assert all(abs(r["score"] - 0.1) < 0.04 for r in run(docs, labels).collect())
+
+
 def test_ppm(spark, texts):
     got = ppm.op5_ppm_score(spark, SF).collect()
     other = {r["doc_id"]: r for r in ppm.score(spark.read.parquet(f"{SF}/documents.parquet"), broadcast_words=0).collect()}
