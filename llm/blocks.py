@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -175,6 +174,9 @@ def _least(rows: pa.Table) -> pa.Table:
     return pa.table({"part": rows.column("part"), "hashes": pa.array([x for x, _ in out], pa.binary()), "least": pa.array([y for _, y in out], pa.binary())})
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of windows that start in a document of smaller id, here or in another part, go."""
     for batch in batches:
@@ -201,13 +203,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (a, b) in enumerate(zip(part.first.tolist(), part.first[1:].tolist(), strict=False)):
                 words = raw[part.offsets[k] : part.offsets[k + 1]].split()
                 mine = keep[a:b]
-                out.append((b - a, int(b - a - mine.sum()), hashlib.sha256(b" ".join(words if mine.all() else compress(words, mine.tolist()))).hexdigest()))
-            n, removed, sha = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part.ids, mask=part.ids == LAST), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                turns = np.flatnonzero(np.diff(np.concatenate([[True], mine, [True]]).astype(np.int8)))
+                out.append((b - a, int(b - a - mine.sum()), [{"start": i, "end": j} for i, j in turns.reshape(-1, 2).tolist()], b" ".join(words if mine.all() else compress(words, mine.tolist()))))
+            n, removed, spans, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part.ids, mask=part.ids == LAST), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document row: doc_id, n_words, n_removed, kept_sha256.
+def cut_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document row: doc_id, n_words, n_removed, spans (removed words, from start to before end), kept (the other words, parted by spaces).
 
     A word goes if a run of WINDOW words that covers it also starts in a document of smaller id. 1. Each
     document's blocks of BLOCK words and its rolling windows of as many, as probes, meet by hash in buckets.
@@ -230,7 +233,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = parts.join(hits.groupBy("part").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "part").select("part", "data", "found")
     least = marked.mapInArrow(lambda b: _window_rows(b, n), "bucket int, part long, hashes binary, least binary").groupBy("bucket").applyInArrow(_least, "part long, hashes binary, least binary")
     answers = least.groupBy("part").agg(F.collect_list(F.struct("hashes", "least")).alias("found"))
-    return parts.join(answers, "part", "left").select("part", "data", "found").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return parts.join(answers, "part", "left").select("part", "data", "found").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+
+
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document row: doc_id, n_words, n_removed, kept_sha256."""
+    return cut_words(docs, id_col, text_col).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

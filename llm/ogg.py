@@ -172,27 +172,45 @@ def pad(raw: bytes, frame: int = FRAME) -> bytes:
     return raw + b"\xff" * (max(1, -(-len(raw) // frame)) * frame - len(raw))
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+def media_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document row: doc_id, n_bytes, media (the Ogg file).
 
-    All but n_bytes come from the stored file: it is written, read back and checked. Null or empty text is one
-    frame of bytes 255. Equal texts give equal files, as the serial numbers come from the payload. A null id
-    stays null; rows that share an id are stored each. Other columns are not read. No documents: no rows.
+    Null or empty text is one frame of bytes 255. Equal texts give equal files, as the serial numbers come from the
+    payload. A null id stays null; rows that share an id are stored each. Other columns are not read. No documents: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 raw, offsets = flat(part.column("_text"))
+                media = [write(pad(raw[a:b].tobytes())) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return rows_of(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def media_features(files: DataFrame) -> DataFrame:
+    """A row per row of files (doc_id, n_bytes, media): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    All but n_bytes come from the file, which is read and checked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "media"):
                 out = []
-                for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-                    media = write(pad(raw[a:b].tobytes()))
+                for media in part.column("media").to_pylist():
                     payload, streams, ends, rate = read(media)
-                    out.append((b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, streams, ends, rate)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("_id"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, streams, ends, rate)))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return rows_of(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The features of each document row's file."""
+    return media_features(media_files(docs, id_col, text_col))
 
 
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,12 @@ def test_stages_keep_columns(docs, labels, bench):
     for out in (suffix.cut_repeats(docs), decontaminate.drop_contaminated(docs, bench), jaccard.keep_first(docs), toxicity.drop_toxic(docs, labels)):
         assert [c for c in out.columns if c != "_row"] == [c for c in docs.columns if c != "_row"]
         out.collect()
+
+
+def test_operators_return_texts_and_files(docs):
+    import hashlib
+
+    digests = sorted((str(r["doc_id"]), r["n_removed"], r["kept_sha256"]) for r in blocks.repeated_words(docs).collect())
+    assert digests == sorted((str(r["doc_id"]), sum(x["end"] - x["start"] for x in r["spans"]), hashlib.sha256(r["kept"].encode()).hexdigest()) for r in blocks.cut_words(docs).collect())
+    digests = sorted((str(r["doc_id"]), r["media_sha256"], r["payload_sha256"]) for r in ogg.media_columns(docs).collect())
+    assert digests == sorted((str(r["doc_id"]), hashlib.sha256(r["media"]).hexdigest(), hashlib.sha256(ogg.read(r["media"])[0]).hexdigest()) for r in ogg.media_files(docs).collect())
