@@ -10,8 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from llm import ans, blocks, jaccard, ogg, packing, ppm, quality, suffix, toxicity
-from llm.tokens import Encoder, tokenizer_path
+from quizforge.llm import ans, blocks, jaccard, ogg, packing, ppm, quality, suffix, toxicity
+from quizforge.llm.tokens import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

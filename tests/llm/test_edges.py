@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from llm import ans, blocks, decontaminate, jaccard, ogg, packing, ppm, quality, suffix, toxicity
+from quizforge.llm import ans, blocks, decontaminate, jaccard, ogg, packing, ppm, quality, suffix, toxicity
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(20_000))
 ROWS = [
