@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, partitions, rows_of, slices, table
+from .common import forget, materialize, partitions, slices, table, texts_of
 from .tokens import END_ID, encoder, tokenizer_path, with_end
 
 MAGIC = b"RNS1"
@@ -181,7 +181,7 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     and nothing of a document comes to the driver.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
-    ordered = rows_of(docs, id_col, text_col).select("_id", "_text").repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id", "_text")
+    ordered = texts_of(docs, id_col, text_col).repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id", "_text")
     raw = materialize(ordered.mapInArrow(lambda b: _chunks(b, path, end_id), RAW), "op9-raw")
     found = raw.where("chunk = -1").select(F.explode(F.arrays_zip("token", "count")).alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.sum("x.count").alias("n")).toPandas()
     counts = np.zeros(int(found["token"].max()) + 1 if len(found) else 1, np.int64)

@@ -57,18 +57,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row, _id, _text): one row per input row, so rows that share an id stay apart. Null text is empty."""
-    return docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        docs[id_col].cast("long").alias("_id"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"),
-    )
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The frame with a row number of its own, and that column's name: the same in every plan that reads it.
+
+    Spark numbers rows by partition and place, and may lay out the same frame differently in two plans (other
+    columns, another shuffle). So the numbers are written, unless the frame is a bare scan of files, whose
+    layout follows from the files alone.
+    """
+    row = spare(docs, "_row")
+    own = docs.withColumn(row, F.monotonically_increasing_id())
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return (own if plan == "LogicalRelation" else materialize(own, "rows")), row
+
+
+def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, once: bool = False) -> DataFrame:
+    """(_row, _id, _text): one row per input row, so rows that share an id stay apart. Null text is empty.
+
+    row names a column of numbered(); without it the rows are numbered here, and not written if they are read once.
+    """
+    if row is None and once:
+        row = spare(docs, "_row")
+        docs = docs.withColumn(row, F.monotonically_increasing_id())
+    elif row is None:
+        plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+        docs, row = numbered(docs if plain else docs.select(id_col, text_col))
+    return docs.select(docs[row].alias("_row"), docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
+
+
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text) for what reads the documents once and needs no number."""
+    return docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
 
 
 def spare(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    while name in docs.columns:
+    """A column name that docs does not have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
@@ -106,6 +130,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
+#: A code for each byte value.
 BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACE = np.zeros(256, bool)
@@ -148,23 +173,27 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.starts)
-        if not n:
-            return np.zeros(0, np.uint64)
-        lengths = self.ends - self.starts
-        within = np.arange(len(self.raw), dtype=np.int64)
-        word = np.zeros(len(self.raw), np.int64)
-        word[self.starts] = self.starts
-        np.maximum.accumulate(word, out=word)
-        within -= word
-        most = int(lengths.max())
-        within[within >= most] = 0
-        with np.errstate(over="ignore"):
-            codes = BYTE_CODE[self.raw] * powers(STEP, most)[within]
-            codes[SPACE[self.raw]] = 0
-            # a value's bytes before its first word are spaces, so each sum ends with its own word
-            sums = np.add.reduceat(codes, self.starts)
-            return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(self.raw, self.starts, self.ends)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, none of them empty: its 8-byte blocks, each mixed with its number, summed."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    at_byte = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    blocks = (lengths + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    j = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * j
+    left = np.minimum(np.repeat(ends, blocks) - at, 8).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        value = at_byte[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
+        key = mix(np.arange(1, int(blocks.max()) + 1, dtype=np.uint64) * STEP)
+        sums = np.add.reduceat(mix(value + key[j]), first)
+        return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def windows(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, spare, table
+from .common import numbered, rows_of, table
 
 WINDOW = 13
 #: A document is contaminated where hits are at least one in this many words.
@@ -42,19 +42,20 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return win.groupBy("len", "win").agg(F.collect_set("item").alias("items")).select("len", F.coalesce(*(F.when(F.col("len") == n, _hash(F.col("win"), 0, n)) for n in range(1, window + 1))).alias("hash"), "win", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, row: str | None = None) -> DataFrame:
     """A row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and _row.
 
     Word windows are hashed and probed against the hashed benchmark windows; a probe that meets one is
     verified word for word. The probe runs next to the scan: no document text is shuffled, only verified
     hits and one row per document are. Null or empty text has no words and is not contaminated. A benchmark
     item without words has no windows; one without id hits but isn't listed; items that share an id count
-    once. Rows that share a doc_id, or a text, are judged each. Other columns are not read.
+    once. Rows that share a doc_id, or a text, are judged each. Other columns are not read. row names the
+    column of row numbers, if docs has one.
     """
     win = benchmark_windows(benchmark, item_col, item_text_col, window)
     sizes = win.groupBy("len").count().collect()  # at most `window` rows
     side = F.broadcast(win) if sum(x["count"] for x in sizes) <= BROADCAST_WINDOWS else win
-    parsed = rows_of(docs, id_col, text_col).select("_row", "_id", words(F.col("_text")).alias("ws"))
+    parsed = rows_of(docs, id_col, text_col, row, once=True).select("_row", "_id", words(F.col("_text")).alias("ws"))
     lone = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")))  # keeps documents without hits
     probes = parsed.select("_row", "_id", "ws", F.size("ws").alias("n_words"), F.concat(lone, *(_windows(F.col("ws"), x["len"]) for x in sorted(sizes, key=lambda x: x["len"]))).alias("probes"))
     # the _outer form: the plain one infers a filter that would cut the words anew for every window
@@ -75,10 +76,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    row = spare(docs, "_row")
-    gone = hits(docs, benchmark, **how).where("contaminated").select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    """The documents that are not contaminated, with all their columns, whatever their names.
+
+    A null or empty text has no words and stays. Rows that share an id, or a text, are judged each. No documents: no
+    rows; an empty benchmark: all stay.
+    """
+    own, row = numbered(docs)
+    gone = hits(own, benchmark, row=row, **how).where("contaminated").select(F.col("_row").alias(row))
+    return own.join(gone, row, "left_anti").drop(row)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 
 
 def sample(rows: DataFrame, labels: DataFrame, label: str, out: Column, each: tuple[int, int], label_id: str = "doc_id") -> tuple[DataFrame, float]:
-    """(_text, y) of at most each[y] labelled rows of _row, _id, _text that are not held out, in hash order, and the log-odds to add.
+    """(_id, _text, y) of at most each[y] labelled ids of _id, _text that are not held out, in hash order, and the log-odds to add.
 
-    Labels other than 0 and 1, and null ids, are left out; labels that repeat an id count once. Where the labels are
+    Labels other than 0 and 1, and null ids, are left out; labels that repeat an id count once, and of rows that share an id the
+    one of the least text, so the sample is bounded whatever the rows. Where the labels are
     drawn at different rates, the odds of label 1 in the sample are not those of all labelled rows: what is
     learned from the sample lacks log(rate of 0 / rate of 1) in log-odds. 0 if both are drawn whole.
     """
@@ -26,4 +27,5 @@ def sample(rows: DataFrame, labels: DataFrame, label: str, out: Column, each: tu
     rate = [min(1.0, each[y] / many[y]) if many.get(y) else 1.0 for y in (0, 1)]
     order = F.xxhash64(F.col("_id"))
     picked = ids.where("y = 0").orderBy(order, "_id").limit(each[0]).union(ids.where("y = 1").orderBy(order, "_id").limit(each[1]))
-    return rows.join(F.broadcast(picked), "_id").select("_id", "_row", "_text", "y"), math.log(rate[0] / rate[1])
+    found = rows.join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.min("_text").alias("_text"))
+    return found.select("_id", "_text", "y"), math.log(rate[0] / rate[1])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import flat, rows_of, slices, table
+from .common import flat, slices, table, texts_of
 
 #: Samples of a packet; payloads are filled with bytes 255 up to a positive multiple of it.
 FRAME = 576
@@ -186,7 +186,7 @@ def media_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = [write(pad(raw[a:b].tobytes())) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return rows_of(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(files: DataFrame) -> DataFrame:

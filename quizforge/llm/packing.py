@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import rows_of, slices, table
+from .common import slices, table, texts_of
 from .tokens import END_ID, encoder, tokenizer_path, with_end
 
 WINDOW = 4096
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         packer.drain()
         yield from gone()
 
-    return rows_of(docs, id_col, text_col).select("_id", "_text").mapInArrow(run, SCHEMA)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,7 +271,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     Without training rows bytes are uniform. Other columns are not read. No documents: no rows.
     """
     spark = docs.sparkSession
-    rows = rows_of(docs, id_col, text_col).withColumn("out", held_out("_id", 5, 1))
+    rows = rows_of(docs, id_col, text_col, once=True).withColumn("out", held_out("_id", 5, 1))
     parts = PARTS * partitions(spark)
     counts = materialize(rows.select(*COLUMNS[5:]).mapInArrow(lambda b: _counts(b, parts), "kind byte, chunk long, part long, keys binary, n binary, _row long, _id long, _text string, out boolean"), "op5-counts")
     summed = [counts.where(F.col("kind") == k).select("keys", "n").mapInArrow(_unpacked, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")) for k in (PAIRS, WORDS)]

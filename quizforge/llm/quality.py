@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import Words, flat, rows_of, slices, table
+from .common import Words, flat,  slices, table, texts_of
 from .labelled import held_out, sample
 
 #: Labelled documents that are learned from, at most: quality 0, quality 1.
@@ -109,14 +109,14 @@ def train(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> Trees | None:
     """Learn from the statistics of at most SAMPLE labelled documents that are not held out. None without both labels."""
-    picked, shift = sample(rows_of(docs, id_col, text_col), labels, "quality", held_out("_id", 3, 1) if out is None else out, SAMPLE)
+    picked, shift = sample(texts_of(docs, id_col, text_col), labels, "quality", held_out("_id", 3, 1) if out is None else out, SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_row"), part.column("y"), pa.array(list(features(part.column("_text"))), pa.list_(pa.float64()))], ["_id", "_row", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("y"), pa.array(list(features(part.column("_text"))), pa.list_(pa.float64()))], ["_id", "y", "x"])
 
-    found = picked.mapInArrow(run, "_id long, _row long, y int, x array<double>").toPandas().sort_values(["_id", "_row"], kind="stable")
+    found = picked.mapInArrow(run, "_id long, y int, x array<double>").toPandas().sort_values("_id")
     y = found["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return None
@@ -140,7 +140,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 s = trees.score(features(part.column("_text"))) if trees else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows_of(docs, id_col, text_col).withColumn("out", held_out("_id", 3, 1)).select("_id", "out", "_text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs, id_col, text_col).withColumn("out", held_out("_id", 3, 1)).select("_id", "out", "_text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

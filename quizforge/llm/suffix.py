@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, STEP, flat, forget, materialize, mix, partitions, powers, rows_of, slices, spare, table
+from .common import BYTE_CODE, STEP, flat, forget, materialize, mix, partitions, numbered, powers, rows_of, slices, spare, table
 
 #: Bytes of a repeat.
 LENGTH = 200
@@ -346,9 +346,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null. n_chars and other columns stay as they are.
     """
-    schema, row, found = docs.schema, spare(docs, "_row"), spare(docs, "cover")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    cover = spans(rows_of(docs, id_col, text_col), length).select(F.col("_row").alias(row), F.col("cover").alias(found))
+    schema, (own, row) = docs.schema, numbered(docs)
+    found = spare(own, "cover")
+    cover = spans(rows_of(own, id_col, text_col, row), length).select(F.col("_row").alias(row), F.col("cover").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +356,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return numbered.join(_by_size(cover), row, "left").drop(row).mapInArrow(run, schema)
+    return own.join(_by_size(cover), row, "left").drop(row).mapInArrow(run, schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,23 +9,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, LOWER, SPACE, STEP, flat, rows_of, slices, table
+from .common import BYTE_CODE, LOWER, SPACE, flat, mix, slices, span_hashes, table, texts_of
+from .common import STEP as FACTOR
 from .labelled import held_out, sample
 
 #: Labelled documents that are learned from, at most: not toxic, toxic.
 SAMPLE = (4500, 1500)
 #: Byte lengths of the n-grams, their buckets, embedding width.
-GRAMS, BITS, WIDTH = (3, 4, 5, 6), 18, 4
-#: An n-gram is learned if at least this share of the sample's documents hold it (and at least 4 do).
-LEAST = 0.004
-STEPS, RATE, DECAY, SEED = 120, 0.1, 2e-5, 7
+GRAMS, BITS, WIDTH = (3, 4, 5, 6), 20, 4
+STEPS, RATE, DECAY, SEED, FLOOR = 150, 1.0, 1e-6, 7, 0.1
+#: Zero vectors that each average has beside the n-grams', so that a few unknown n-grams decide nothing.
+PRIOR = 300
+#: Memberships of n-grams in words summed at a time in training.
+RUN = 1 << 21
+#: Bytes of text scored at a time: its n-grams take some fifty times as much.
+STEP = 1 << 18
 
 _CLEAN = LOWER.copy()
 _CLEAN[[b for b in range(128) if not (48 <= b <= 57 or 97 <= LOWER[b] <= 122)]] = 32
 
 
 class Bags:
-    """The words of each text (letters, digits, bytes over 127) and their n-grams, with the space before and after."""
+    """The distinct words of each text (letters, digits, bytes over 127) and their n-grams, with the space before and after."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         n = len(offsets) - 1
@@ -38,6 +42,10 @@ class Bags:
         self.ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         self.doc = np.repeat(np.arange(n), np.diff(np.searchsorted(self.starts, offsets + 2 * np.arange(n + 1))))
         self.docs = n
+        with np.errstate(over="ignore"):
+            key = mix(span_hashes(text, self.starts, self.ends) + self.doc.astype(np.uint64))
+        own = np.sort(np.unique(key, return_index=True)[1])
+        self.starts, self.ends, self.doc = self.starts[own], self.ends[own], self.doc[own]
         self.grams = sum(np.maximum(self.ends - self.starts + 3 - k, 0) for k in GRAMS)
 
     def buckets(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -45,18 +53,18 @@ class Bags:
             code = BYTE_CODE[self.text]
             h = code
             for k in range(2, max(GRAMS) + 1):
-                h = h[:-1] * STEP + code[k - 1 :]
+                h = h[:-1] * FACTOR + code[k - 1 :]
                 if k in GRAMS:
                     yield k, ((h * np.uint64(0x9E3779B97F4A7C15 + 2 * k)) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def word_scores(self, weight: np.ndarray) -> np.ndarray:
-        """The mean weight of each word's n-grams."""
+    def totals(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each word's n-grams."""
         total = np.zeros(len(self.starts))
         for k, bucket in self.buckets():
             upto = np.concatenate([[0.0], np.cumsum(weight[bucket], dtype=np.float64)])
             last = np.maximum(self.ends + 2 - k, self.starts - 1)
             total += upto[last] - upto[self.starts - 1]
-        return total / self.grams
+        return total
 
     def members(self) -> tuple[np.ndarray, np.ndarray]:
         """(word, bucket) of each n-gram."""
@@ -70,34 +78,30 @@ class Bags:
         return np.concatenate(word), np.concatenate(bucket)
 
 
-def pooled(words: np.ndarray, doc: np.ndarray, docs: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(score of each text, share of each word): the mean of its words, each weighing by the exponential of its own score."""
-    top = np.full(docs, -np.inf)
-    np.maximum.at(top, doc, words)
-    share = np.exp(words - top[doc]) * (1 if times is None else times)
-    share /= np.bincount(doc, share, docs)[doc]
-    return np.bincount(doc, share * words, docs), share
-
-
 def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias): embeddings and the softmax layer learned together, by Adam on all texts."""
+    """(weight of each bucket, bias): embeddings and the softmax layer learned together, by Adam on all texts.
+
+    The score of a text is linear in the plain average of its n-grams' embeddings, so a text is a few shares of
+    words and a word a few n-grams: both sums go over distinct words.
+    """
     known: dict[bytes, int] = {}
-    doc, word, times = [], [], []
+    doc, word = [], []
     for i, t in enumerate(texts):
-        found = Counter(t.encode().translate(_CLEAN.tobytes()).split())
-        doc.append(np.full(len(found), i))
-        word.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
-        times.append(np.fromiter(found.values(), np.float64, len(found)))
-    doc, word, times = np.concatenate(doc), np.concatenate(word), np.concatenate(times)
+        found = set(t.encode().translate(_CLEAN.tobytes()).split())
+        doc.append(np.full(len(found), i, np.int32))
+        word.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+    doc, word = np.concatenate(doc), np.concatenate(word)
     bags = Bags(*flat(pa.array(list(known), pa.binary())))
-    member, bucket = bags.members()
-    holds = np.bincount(bucket, np.bincount(word, minlength=len(known))[member], 1 << BITS)
-    used = np.flatnonzero(holds >= max(4, LEAST * len(texts)))
-    number = np.full(1 << BITS, -1, np.int32)
-    number[used] = np.arange(len(used))
-    keep = number[bucket] >= 0
-    member, gram = member[keep], number[bucket[keep]]
-    del bucket, keep
+    share = 1 / (PRIOR + np.bincount(doc, bags.grams[word], len(texts)))[doc]
+    member, gram = bags.members()
+    words, docs, seen = len(known), len(texts), np.zeros(1 << BITS, bool)
+    seen[gram] = True
+    used = np.flatnonzero(seen)
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    runs = [slice(i, i + RUN) for i in range(0, len(gram), RUN)]
+    for run in runs:
+        gram[run] = number[gram[run]]
+    del bags, known, seen, number
     rng = np.random.default_rng(SEED)
     bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     state = [rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.1, (WIDTH, 2)), np.array([bias])]
@@ -105,18 +109,20 @@ def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     for step in range(1, STEPS + 1):
         embed, layer, b = state
         side = layer[:, 1] - layer[:, 0]
-        score = np.bincount(member, (embed @ side)[gram], len(known)) / bags.grams
-        z, share = pooled(score[word], doc, len(texts), times)
+        weight = embed @ side
+        total = sum(np.bincount(member[run], weight[gram[run]], words) for run in runs)
+        z = np.bincount(doc, share * total[word], docs)
         p = 1 / (1 + np.exp(-np.clip(z + b, -30, 30)))
         err = (p - y) / len(y)
-        per_word = np.bincount(word, err[doc] * share, len(known)) / bags.grams
-        g = np.bincount(gram, per_word[member], len(used))
+        per_word = np.bincount(word, err[doc] * share, words)
+        g = sum(np.bincount(gram[run], per_word[member[run]], len(used)) for run in runs)
         pull = g @ embed + DECAY * side
-        grads = [g[:, None] * side + DECAY * embed, np.stack([-pull, pull], 1), np.array([err.sum()])]
+        grads = [g[:, None] * side + DECAY * embed / len(used), np.stack([-pull, pull], 1), np.array([err.sum()])]
         for x, d, m, v in zip(state, grads, first, second, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
-            x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            root = np.sqrt(v / (1 - 0.99**step))
+            x -= RATE * (m / (1 - 0.9**step)) / (root + FLOOR * root.max() + 1e-12)
     weight = np.zeros(1 << BITS, np.float32)
     weight[used] = state[0] @ (state[1][:, 1] - state[1][:, 0])
     return weight, float(state[2][0])
@@ -126,7 +132,7 @@ def scores(texts: pa.Array, model: tuple[np.ndarray, float] | None) -> np.ndarra
     if model is None:
         return np.zeros(len(texts))
     bags = Bags(*flat(texts))
-    z = pooled(bags.word_scores(model[0]), bags.doc, bags.docs)[0]
+    z = np.bincount(bags.doc, bags.totals(model[0]), bags.docs) / (PRIOR + np.bincount(bags.doc, bags.grams, bags.docs))
     return 1 / (1 + np.exp(-np.clip(z + model[1], -700, 700)))
 
 
@@ -137,41 +143,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     None, and scores of 0, without documents of both labels.
     """
-    rows = rows_of(docs, id_col, text_col)
-    picked, shift = sample(rows, labels, "toxic", held_out("_id", 5, 0) if out is None else out, SAMPLE)
-    found = picked.toPandas().sort_values(["_id", "_row"], kind="stable")
-    y = found["y"].to_numpy(np.float64)
+    picked, shift = sample(texts_of(docs, id_col, text_col), labels, "toxic", held_out("_id", 5, 0) if out is None else out, SAMPLE)
+    found = picked.toArrow().sort_by("_id")
+    y = found.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         return None
-    weight, bias = train(found["_text"].tolist(), y)
+    weight, bias = train(found.column("_text").to_pylist(), y)
     return weight, bias + shift
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document row: doc_id, held_out, score, predicted.
 
-    A word is the average of its n-grams' embeddings, a text the average of its words, each weighing by the
-    exponential of its own score, so a few words in a long text count. Null or empty text, or text without words, is scored by the bias alone.
+    A text is the plain average of the embeddings of its distinct words' n-grams, and of PRIOR zero vectors. Null or
+    empty text, or text without words, is scored by the bias alone. No documents: no rows; no labels of both kinds: scores of 0.
     A null id is not held out. Rows that share an id are scored each. Other columns are not read.
     """
     model = fit(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", STEP):
                 s = scores(part.column("_text"), model)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows_of(docs, id_col, text_col).withColumn("out", held_out("_id", 5, 0)).select("_id", "out", "_text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs, id_col, text_col).withColumn("out", held_out("_id", 5, 0)).select("_id", "out", "_text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are not predicted toxic."""
+    """The documents, with all their columns, that are not predicted toxic.
+
+    A null or empty text is judged by the bias. Rows that share an id, or a text, are judged each; columns of any name
+    stay as they are. No documents: no rows; without labels of both kinds all stay.
+    """
     model, schema = fit(docs, labels, id_col, text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, STEP):
                 yield part.filter(pa.array(scores(part.column(text_col), model) < 0.5))
 
     return docs.mapInArrow(run, schema)
