@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,18 +40,45 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that no plan needs any more."""
-    spark = df.sparkSession
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    files.deleteOnExit(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that no plan needs any more, and let Spark drop the shuffles behind them."""
+    for df in frames:
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            delete(df.sparkSession, path)
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+_HELD: list = []
+
+
+def held(cached):
+    """Registers a cached function, whose values let_go() drops."""
+    _HELD.append(cached.cache_clear)
+    return cached
+
+
+def let_go() -> None:
+    """Drop what earlier tasks of this Python worker left behind: workers outlive stages."""
+    for clear in _HELD:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:

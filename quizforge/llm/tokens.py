@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: The id that ends each document.
 END_ID = 2
 #: Words that a worker keeps ids of; beyond, it starts anew.
@@ -100,6 +102,7 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[edges]
 
 
+@held
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
