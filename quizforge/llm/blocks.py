@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, flat, partitions, rows_of, slices, table, windows
+from .common import Words, flat, mix, partitions, rows_of, slices, table, windows
 
 #: Words of a repeat.
 WINDOW = 13
@@ -68,6 +68,11 @@ class Part:
         start = np.flatnonzero(self.doc[: len(h)] == self.doc[n - 1 :]) if len(h) else np.zeros(0, np.int64)
         return start, h[start]
 
+    def checks(self, start: np.ndarray) -> np.ndarray:
+        """A second hash, of 32 bits, of the windows of WINDOW words from start on."""
+        other = mix(self.word ^ np.uint64(0xA0761D6478BD642F))
+        return (windows(other, WINDOW, 77)[start] >> np.uint64(32)).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
+
 
 def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first, distinct): order sorts h and keeps places in order; first of each distinct value in it."""
@@ -136,7 +141,7 @@ def _met(rows: pa.Table) -> pa.Table:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Around each hit: the windows that hold it, as distinct hashes with the least id of the part."""
+    """Around each hit: the windows that hold it, as distinct hashes with the least id of the part, a second hash, and whether two ids of the part have it."""
     for batch in batches:
         for number, data, found in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), batch.column("found").to_pylist(), strict=True):
             part = Part.unpack(data)
@@ -151,24 +156,28 @@ def _window_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             near = upto[at + WINDOW - BLOCK + 1] > upto[at]
             at, h = at[near], h[near]
             order, first, distinct = grouped(h)
-            least = np.minimum.reduceat(part.ids[part.doc[at[order]]], first) if len(h) else np.zeros(0, np.int64)
+            own = part.ids[part.doc[at[order]]]
+            least, most = (f.reduceat(own, first) if len(h) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
+            check = part.checks(at[order[first]])
             cut = _dealt(distinct, 64, buckets)
-            rows = [(k, number, squeeze(distinct[a:b]), squeeze(least[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+            rows = [(k, number, squeeze(distinct[a:b]), squeeze(least[a:b]), check[a:b].tobytes(), np.packbits(most[a:b] > least[a:b]).tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "part", "hashes", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "part", "hashes", "least", "checks", "many"])
 
 
 def _least(rows: pa.Table) -> pa.Table:
-    """For each part the windows of a bucket that other parts hold too, with the least id of all."""
+    """For each part the windows of a bucket that an id after the least of all has there, with that least id."""
     lists = [expand(x) for x in rows.column("hashes").to_pylist()]
     ids = [expand(x).view(np.int64) for x in rows.column("least").to_pylist()]
-    h, i = np.concatenate(lists), np.concatenate(ids)
+    own = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)).astype(bool) for x, y in zip(rows.column("many").to_pylist(), lists, strict=True)]
+    h, i, check, many = (np.concatenate(x) for x in (lists, ids, [np.frombuffer(x, np.uint32) for x in rows.column("checks").to_pylist()], own))
     order, first, _ = grouped(h)
-    count = np.diff(first, append=len(h))
-    least, many = np.empty(len(h), np.int64), np.empty(len(h), bool)
-    least[order] = np.repeat(np.minimum.reduceat(i[order], first), count)
-    many[order] = np.repeat(count > 1, count)
-    many &= least < i
+    if (check[order][1:] != check[order][:-1])[h[order][1:] == h[order][:-1]].any():  # one hash, different words
+        order = np.lexsort((check, h))
+        first = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]))
+    least = np.empty(len(h), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(i[order], first), np.diff(first, append=len(h)))
+    many |= least < i
     ends = np.cumsum([len(x) for x in lists])[:-1]
     out = [(squeeze(x[m]), squeeze(y[m])) for x, y, m in zip(lists, np.split(least, ends), np.split(many, ends), strict=True)]
     return pa.table({"part": rows.column("part"), "hashes": pa.array([x for x, _ in out], pa.binary()), "least": pa.array([y for _, y in out], pa.binary())})
@@ -178,24 +187,19 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of windows that start in a document of smaller id, here or in another part, go."""
+    """Words of windows that start in a document of smaller id, as found around hits, go."""
     for batch in batches:
         for data, found in zip(batch.column("data").to_pylist(), batch.column("found").to_pylist(), strict=True):
             part = Part.unpack(data)
             part.read()
             at, h = part.runs(WINDOW)
-            order, first, distinct = grouped(h)
-            own = part.ids[part.doc[at]]
             gone = np.zeros(len(part.word) + 1, np.int64)
-            if len(h):
-                least = np.minimum.reduceat(own[order], first)
-                for x in found or ():
-                    far, ids = expand(x["hashes"]), expand(x["least"]).view(np.int64)
-                    place = np.searchsorted(distinct, far)
-                    least[place] = np.minimum(least[place], ids)
-                lost = np.empty(len(h), np.int64)
-                lost[order] = np.repeat(least, np.diff(first, append=len(h)))
-                lost = at[lost < own]
+            if found and len(h):
+                far, ids = np.concatenate([expand(x["hashes"]) for x in found]), np.concatenate([expand(x["least"]).view(np.int64) for x in found])
+                order = np.argsort(far)
+                far, ids = far[order], ids[order]
+                place = np.minimum(np.searchsorted(far, h), max(len(far) - 1, 0))
+                lost = at[(far[place] == h) & (ids[place] < part.ids[part.doc[at]])] if len(far) else at[:0]
                 np.add.at(gone, lost, 1)
                 np.add.at(gone, lost + WINDOW, -1)
             keep = np.cumsum(gone[:-1]) == 0
@@ -214,8 +218,9 @@ def cut_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     A word goes if a run of WINDOW words that covers it also starts in a document of smaller id. 1. Each
     document's blocks of BLOCK words and its rolling windows of as many, as probes, meet by hash in buckets.
-    2. A block that another document's probe hits marks all windows that hold it, on both sides. 3. These
-    windows meet by hash; each learns the least id that has it, so a run of hit windows is a maximal repeat.
+    2. A block that another document's probe hits is extended on both sides, in the documents of both: all windows
+    that hold it. 3. These windows meet by two hashes, 96 bits in all; each learns the least id that has it, so a
+    run of such windows is a maximal repeat. What no hit touches is never removed.
     What meets is packed: a row per part of the documents and bucket, each hash once a part, however often it
     occurs. Buckets are as many as shuffle partitions. Null text has no words. A null id is after all ids. Rows
     that share an id don't cut each other. Other columns are not read. No documents: no rows.
@@ -231,7 +236,7 @@ def cut_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     parts = rows.mapInArrow(packed, "part long, data binary")
     hits = rows.mapInArrow(lambda b: _probe_rows(b, n), "bucket int, part long, probes binary, flags binary").groupBy("bucket").applyInArrow(_met, "part long, bucket int, bits binary")
     marked = parts.join(hits.groupBy("part").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")), "part").select("part", "data", "found")
-    least = marked.mapInArrow(lambda b: _window_rows(b, n), "bucket int, part long, hashes binary, least binary").groupBy("bucket").applyInArrow(_least, "part long, hashes binary, least binary")
+    least = marked.mapInArrow(lambda b: _window_rows(b, n), "bucket int, part long, hashes binary, least binary, checks binary, many binary").groupBy("bucket").applyInArrow(_least, "part long, hashes binary, least binary")
     answers = least.groupBy("part").agg(F.collect_list(F.struct("hashes", "least")).alias("found"))
     return parts.join(answers, "part", "left").select("part", "data", "found").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
