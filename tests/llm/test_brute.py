@@ -4,13 +4,17 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from quizforge.llm import ans, blocks, jaccard, ogg, packing, ppm, quality, suffix, toxicity
+from pyspark.sql import functions as F
+
+from quizforge.llm import ans, blocks, decontaminate, jaccard, ogg, packing, ppm, quality, suffix, toxicity
 from quizforge.llm.tokens import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -40,17 +44,41 @@ def test_suffix(spark, texts):
         assert (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()) == tuple(got[k][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
-def test_collections():
+def test_collections(tmp_path):
     rng = np.random.default_rng(5)
     for _ in range(60):
         n = int(rng.integers(1, 5))
         own = [rng.integers(0, 4, int(rng.integers(0, 25))).astype(np.uint8) for _ in range(int(rng.integers(1, 12)))]
-        a, b = suffix.repeated(own, n)
+        a, b = suffix.repeated(own, n, str(tmp_path), 32)
         seen = Counter(t[i : i + n].tobytes() for t in own for i in range(len(t) - n + 1))
         assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((k, i) for k, t in enumerate(own) for i in range(len(t) - n + 1) if seen[t[i : i + n].tobytes()] > 1)
+    assert not list(tmp_path.iterdir())  # the columns' files are gone
+
+
+def test_columns_are_files(tmp_path):
+    x = suffix.Column(str(tmp_path), "x", suffix.SPILL)
+    for n in (10, suffix.SPILL, 3 * suffix.READ, 4 * suffix.READ):
+        values = np.arange(n, dtype=np.uint16)
+        x.write(values)
+        assert (x.read() == values).all()
+        assert len(list(tmp_path.iterdir())) == (values.nbytes > suffix.SPILL)
+    x.close()
+    assert not list(tmp_path.iterdir())
+
 
+def test_part_digests():
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 256, 5000).astype(np.uint8)
+    raw[3000:3400] = raw[100:500]
+    lo, size = np.array([100, 3000, 100, 101]), np.array([400, 400, 399, 400])
+    large, small = suffix.part_digests(raw, lo, size)
+    for k, (a, n) in enumerate(zip(lo.tolist(), size.tolist(), strict=True)):
+        for base, modulus, got in zip(suffix._BASES, (suffix._LARGE, suffix._SMALL), (large[k], small[k]), strict=True):
+            assert int(got) == sum((int(x) + 1) * pow(base, i, modulus) for i, x in enumerate(raw[a : a + n])) % modulus
+    assert large[0] == large[1] and len(set(large.tolist())) == 3
 
-def test_hot_anchor_goes_by_digest(spark, texts, monkeypatch):
+
+def test_hot_anchor_is_split(spark, texts, monkeypatch):
     want = {tuple(r) for r in suffix.op1_suffix_array_dedup(spark, SF).collect()}
     monkeypatch.setattr(suffix, "COLLECTION", 2)
     monkeypatch.setattr(suffix, "SPILL", 64)
@@ -198,22 +226,76 @@ def test_rans_checks():
     rng = np.random.default_rng(2)
     ids = rng.zipf(1.3, 300_000).clip(0, 40_000).astype(np.uint32)
     coder = ans.Coder(ans.shares(np.bincount(ids)))
-    data = ans.write_chunk(np.array([3, 4]), np.array([100_000, 200_000]), ids, coder)
-    docs, lengths, back = ans.read_chunk(data, coder)
-    assert (back == ids).all() and docs.tolist() == [3, 4] and lengths.tolist() == [100_000, 200_000]
+    data = ans.write_chunk(np.array([3, 4]), np.array([100_000, 200_000]), ids, coder, np.array([False, True]), 5, 77)
+    chunk = ans.Chunk(data, ans.Coder.of(coder.table()))
+    assert (chunk.ids() == ids).all() and chunk.docs.tolist() == [3, 4] and chunk.lengths.tolist() == [100_000, 200_000]
+    assert (chunk.nulls.tolist(), chunk.part, chunk.base) == ([False, True], 5, 77)
+    for a, b in ((0, 5), (131_071, 131_073), (131_072, 262_144), (299_999, 300_000), (7, 7), (250_000, 400_000)):
+        assert (chunk.ids(a, b) == ids[a:b]).all()
     broken = bytearray(data)
     broken[-5] ^= 1
+    torn = ans.Chunk(bytes(broken), coder)
+    assert (torn.ids(0, 100) == ids[:100]).all()  # another block
+    with pytest.raises(ValueError):
+        torn.ids()
     with pytest.raises(ValueError):
-        ans.read_chunk(bytes(broken), coder)
+        ans.Chunk(data, ans.Coder(ans.shares(np.bincount(ids[:1000]))))
+
+
+def test_token_files_are_read_elsewhere(spark, texts, tmp_path):
+    want = {tuple(r) for r in ans.token_ids(spark.read.parquet(f"{SF}/documents.parquet"), out=str(tmp_path / "ids")).collect()}
+    code = """
+import sys, zlib, numpy as np, pyarrow.parquet as pq
+from quizforge.llm import ans
+out = sys.argv[1]
+coder = ans.Coder.of(pq.read_table(out + "/table")["data"][0].as_py())
+for data in pq.read_table(out + "/chunks")["data"].to_pylist():
+    chunk = ans.Chunk(data, coder)
+    ends = np.cumsum(chunk.lengths.astype(int))
+    for doc, n, end in zip(chunk.docs.tolist(), chunk.lengths.tolist(), ends.tolist()):
+        print(doc, n, zlib.crc32(chunk.ids(end - n, end).astype("<u4").tobytes()))
+"""
+    got = subprocess.run([sys.executable, "-c", code, str(tmp_path / "ids")], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout
+    assert {tuple(map(int, x.split())) for x in got.splitlines()} == {(d, n, c) for d, _, n, c in want}
 
 
 def test_packer_places_by_squares():
-    p = packing.Packer(16, 0)
-    for i, n in enumerate((5, 5, 5, 3, 3, 8, 8, 16, 40)):
-        p.add(i, np.arange(n))
-    assert p.count.sum() == p.held and sum(k * c for k, c in enumerate(p.count)) + sum(r[2] for r in p.out) == 93
-    p.drain()
-    assert sum(r[2] for r in p.out) == 93
+    rng, w = np.random.default_rng(4), 32
+    sizes = rng.integers(1, w, 400).tolist()
+    p, open_, full = packing.Packer(w, 0), [], 0
+    for i, n in enumerate(sizes):
+        p.place((i, 0, n, n, 0, bytes(2 * n)))
+        least = None
+        for k in [None, *range(len(open_))]:  # each choice, by the sum of squares it leaves
+            levels = Counter(open_)
+            level = 0 if k is None else open_[k]
+            if level + n > w:
+                continue
+            levels[level] -= level > 0
+            levels[level + n] += level + n < w
+            cost = (sum(c * c for c in levels.values()), -level)
+            least = min(least, (cost, -1 if k is None else k)) if least else (cost, -1 if k is None else k)
+        level = 0 if least[1] < 0 else open_.pop(least[1])
+        if level + n < w:
+            open_.append(level + n)
+        full += level + n == w
+        assert p.count.tolist() == [Counter(open_)[k] for k in range(w + 1)]
+    assert len({r[5] for r in p.out}) == full
+    p.drain(2)
+    assert sum(r[2] for r in p.out) == sum(sizes)
+    assert p.drained == sum(open_)
+
+
+def test_little_is_drained(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(32)
+    placed = packing.pack(docs).collect()
+    windows = Counter()
+    for r in placed:
+        windows[r["sequence_id"]] += r["length"]
+    assert all(n == 4096 or n & (n - 1) == 0 for n in windows.values())
+    assert sum(n < 4096 for n in windows.values()) <= 12
+    cut = {(r["doc_id"], r["start"]) for r in placed if (r["start"] + r["length"]) % 4096 and r["start"] + r["length"] < r["doc_tokens"]}
+    assert len(cut) < 0.05 * len(windows)  # only drain() cuts elsewhere than at whole windows: one cut a window
 
 
 def test_ogg(spark, texts):
@@ -236,3 +318,36 @@ def test_classifiers(spark):
     for found, label, least in ((quality.op3_boosted_quality, "quality", 0.95), (toxicity.op7_subword_toxicity, "toxic", 0.85)):
         out = [r for r in found(spark, sf).collect() if r["held_out"] and r["doc_id"] in y]
         assert np.mean([r["predicted"] == y[r["doc_id"]][label] for r in out]) > least
+
+
+def test_long_words_of_one_letter_pattern_differ(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b, rest = a.translate(str.maketrans("ab", "ba")), [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join([*rest[:6], a, *rest[6:12]])), (2, " ".join([*rest[:6], b, *rest[6:12]]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in blocks.repeated_words(docs).collect()] == [0, 0]
+    assert {r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == {1, 2}
+
+
+def test_blocks_need_their_index(spark, texts, monkeypatch):
+    def nothing(rows):
+        import pyarrow as pa
+
+        return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "bits": pa.array([bytes(len(x)) for x in rows.column("flags").to_pylist()], pa.binary())})
+
+    nothing.__module__ = "__main__"
+    monkeypatch.setattr(blocks, "_met", nothing)
+    assert sum(r["n_removed"] for r in blocks.op6_fixed_block_dedup(spark, SF).collect()) == 0
+
+
+@pytest.mark.parametrize("how", ["repartition", "orderBy", "dropDuplicates"])
+def test_rows_are_numbered_once(spark, how):
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = docs.withColumn("wide", F.repeat(F.col("text"), 3))
+    shuffled = {"repartition": wide.repartition("doc_id"), "orderBy": wide.orderBy(F.desc("text")), "dropDuplicates": wide.dropDuplicates(["doc_id"])}[how]
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for stage in (jaccard.keep_first, suffix.cut_repeats, lambda d: decontaminate.drop_contaminated(d, bench)):
+        want = {(r["doc_id"], r["text"]) for r in stage(docs).collect()}
+        assert {(r["doc_id"], r["text"]) for r in stage(shuffled).select("doc_id", "text").collect()} == want
