@@ -3,32 +3,78 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, STEP, flat, forget, materialize, mix, partitions, numbered, powers, rows_of, slices, spare, table
+from .common import BYTE_CODE, STEP, delete, flat, forget, held, let_go, materialize, mix, numbered, partitions, powers, rows_of, shared_dir, slices, spare, table
 
 #: Bytes of a repeat.
 LENGTH = 200
 #: Bytes of an anchor.
 ANCHOR = 24
-#: Parts that share an anchor up to which they are one collection; more are matched by window digest.
-COLLECTION = 16_384
-#: Parts from which a collection is closed after its anchor's last.
-GATHER = 256
-#: Bytes of an array of a collection from which it is a file.
-SPILL = 4 << 20
-#: Documents up to which their lists of requests or spans are broadcast.
-BROADCAST_ROWS = 20_000
+#: Kinds of parts under one anchor from which they are split by the bytes around it.
+COLLECTION = 8_192
+#: Places of the anchor that windows of a split part may have.
+SPLIT = 32
+#: Bytes of parts from which a collection is closed after its anchor's last.
+GATHER = 1 << 16
+#: Bytes of a column of a collection from which it is a file, and bytes read from it at a time.
+SPILL, READ = 1 << 15, 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_CODE2 = mix(BYTE_CODE)
-_STEP2 = np.uint64(0xA0761D6478BD642F)
+#: Two moduli and bases of part digests: unequal parts of 400 bytes meet in both with odds of some 400 / 2 ** 61 * 400 / 2 ** 31.
+_LARGE, _SMALL = (1 << 61) - 1, (1 << 31) - 1
+_BASES = (1_405_310_203_571_408_291, 1_234_567_891)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2 ** 61 - 1, of numbers below it."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    mid = ah * bl + al * bh
+    return _fold(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half) + al * bl)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    top = np.uint64(_LARGE)
+    x = (x & top) + (x >> np.uint64(61))
+    return np.where(x >= top, x - top, x)
+
+
+@held
+@lru_cache(maxsize=8)
+def _powers(base: int, modulus: int, bits: int) -> np.ndarray:
+    """base ** 0 .. base ** (2 ** bits - 1), by the modulus."""
+    out = np.ones(1, np.uint64)
+    for k in range(bits):
+        by = np.uint64(pow(base, 1 << k, modulus))
+        out = np.concatenate([out, _times(out, by) if modulus == _LARGE else out * by % np.uint64(modulus)])
+    return out
+
+
+def part_digests(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial digests, by both moduli, of the bytes lo .. lo + size."""
+    bits = max(21, len(raw).bit_length())
+    code = raw.astype(np.uint64) + np.uint64(1)
+
+    def between(weight: np.ndarray) -> np.ndarray:  # sums wrap, but the bytes of a part add up to less than that
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * weight)])
+        return total[lo + size] - total[lo]
+
+    with np.errstate(over="ignore"):
+        power = _powers(_BASES[0], _LARGE, bits)[: len(raw)]
+        high, low = between(power >> np.uint64(30)), between(power & np.uint64((1 << 30) - 1))
+        high = _times(_fold(high), np.uint64(1 << 30))
+        large = _times(_fold(high + _fold(low)), _powers(pow(_BASES[0], -1, _LARGE), _LARGE, bits)[lo])
+        small = between(_powers(_BASES[1], _SMALL, bits)[: len(raw)]) % np.uint64(_SMALL)
+        small = small * _powers(pow(_BASES[1], -1, _SMALL), _SMALL, bits)[lo] % np.uint64(_SMALL)
+    return large, small
 
 
 def _rolling(raw: np.ndarray) -> np.ndarray:
@@ -60,18 +106,18 @@ def _extreme(x: np.ndarray, n: int, of) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(value, first, windows, anchor hash, digest) of each part.
+    """(value, first, windows, anchor hash, anchor place after first, two digests) of each part.
 
     Each window of `length` bytes belongs to its anchor, the last of the least hashed ANCHOR bytes in it, so
     equal windows have equal anchors at equal places. A part is a run of windows with one anchor: those that
-    start in first .. first + windows - 1 (in all bytes); the digest is of all its bytes and the anchor's place.
+    start in first .. first + windows - 1 (in all bytes); the first digest takes in the anchor's place too.
     """
     span = length - ANCHOR + 1
     starts, ends = offsets[:-1], offsets[1:]
     fits = np.flatnonzero(ends - starts >= length)
     none = np.zeros(0, np.int64)
     if not len(fits):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none, none.view(np.uint64), none.view(np.uint64)
     h = _rolling(raw)
     h[h == _NONE] -= np.uint64(1)
     least = _extreme(h, span, np.minimum)
@@ -91,48 +137,70 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     first = np.flatnonzero(np.concatenate([[True], (np.diff(rank) != 0) | (np.diff(p) != 1)]))
     windows = np.diff(first, append=len(p))
     lo, q = p[first], chosen[rank[first]]
-    with np.errstate(over="ignore"):
-        power = powers(_STEP2, len(raw) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE2[raw] * power[:-1])])
-        inverse = np.uint64(pow(int(_STEP2), -1, 1 << 64))
-        part = (total[lo + windows + length - 1] - total[lo]) * powers(inverse, int(lo.max()) + 1)[lo]
-        digest = mix(part + (windows * 4096 + (q - lo)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return np.searchsorted(offsets, lo, "right") - 1, lo, windows, h[q], digest
+    large, small = part_digests(raw, lo, windows + length - 1)
+    return np.searchsorted(offsets, lo, "right") - 1, lo, windows, h[q], q - lo, large ^ mix((windows * 4096 + (q - lo)).astype(np.uint64)), small
+
+
+PARTS = "h long, d long, e int, _row long, lo int, n short, q short"
 
 
 def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         for own in slices(batch, "_text", 1 << 20):
             raw, offsets = flat(own.column("_text"))
-            value, lo, windows, h, digest = anchors(raw, offsets, length)
+            value, lo, windows, h, place, large, small = anchors(raw, offsets, length)
             rows = np.asarray(own.column("_row"))[value]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(rows), pa.array((lo - offsets[value]).astype(np.int32)), pa.array(windows.astype(np.int16))], ["h", "digest", "_row", "lo", "n"])
+            columns = (h.view(np.int64), large.view(np.int64), small.astype(np.int32), rows, (lo - offsets[value]).astype(np.int32), windows.astype(np.int16), place.astype(np.int16))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "d", "e", "_row", "lo", "n", "q"])
+
+
+@lru_cache(maxsize=4)
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder)
 
 
 class Column:
-    """An array that each round reads and writes again in order: a file once it is over SPILL bytes."""
+    """An array that each round reads and writes anew from front to back: once it is over `spill` bytes, a new file of the shared folder."""
 
-    def __init__(self, folder: str, name: str):
-        self.path, self.kept = os.path.join(folder, name), np.zeros(0)
+    def __init__(self, folder: str, name: str, spill: int):
+        self.store, root = _store(folder)
+        self.own, self.round, self.kept = f"{root}/{uuid.uuid4().hex}-{name}", 0, np.zeros(0)
+        self.spill = spill
 
     def read(self) -> np.ndarray:
-        return self.kept if self.kept is not None else np.fromfile(self.path, self.dtype)
+        if self.kept is not None:
+            return self.kept
+        out, at = np.empty(self.bytes, np.uint8), 0
+        with self.store.open_input_stream(f"{self.own}-{self.round}") as stream:
+            while at < self.bytes:
+                data = stream.read(min(READ, self.bytes - at))
+                out[at : at + len(data)] = np.frombuffer(data, np.uint8)
+                at += len(data)
+        return out.view(self.dtype)
 
     def write(self, x: np.ndarray) -> None:
-        self.kept, self.dtype = x, x.dtype
-        if x.nbytes > SPILL:
-            x.tofile(self.path + ".new")
-            os.replace(self.path + ".new", self.path)
+        self.close()
+        self.kept, self.dtype, self.bytes = x, x.dtype, x.nbytes
+        if x.nbytes > self.spill:
+            self.round += 1
+            with self.store.open_output_stream(f"{self.own}-{self.round}") as stream:
+                stream.write(np.ascontiguousarray(x))
             self.kept = None
 
+    def close(self) -> None:
+        if self.kept is None:
+            self.store.delete_file(f"{self.own}-{self.round}")
 
-def repeated(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+
+def repeated(texts: list[np.ndarray], length: int, folder: str, spill: int = SPILL) -> tuple[np.ndarray, np.ndarray]:
     """(text, place) of each suffix that shares its first `length` symbols with another of the collection.
 
     The texts' BWT grows by a symbol per text each round, from their ends: round j inserts the suffixes of
     j + 1 symbols (and the end mark). A suffix c + s comes at the number of end marks, of smaller symbols and
     of c before s in the BWT. Its common prefix with its neighbours is one more than the least one between s
-    and the next c above and below. BWT, common prefixes (up to `length`) and suffix numbers are Columns.
+    and the next c above and below. BWT and common prefixes (up to `length`) are Columns in the folder; the
+    places of the repeats are walked out of the finished BWT.
     """
     m = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, m)
@@ -144,63 +212,75 @@ def repeated(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarr
     back = np.zeros((width + 1, m), kind)  # back[j]: the symbol j + 1 from the end, 0 before the first
     ends = np.cumsum(sizes)
     back[np.repeat(ends, sizes) - 1 - np.arange(len(code)), np.repeat(np.arange(m), sizes)] = code + 1
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, common, number = (Column(folder, x) for x in ("bwt", "lcp", "sa"))
-        bwt.write(back[0])
-        common.write(np.zeros(m, np.uint16))
-        number.write(np.arange(m, dtype=np.int64) * width)
-        at = np.arange(m)  # where the suffix inserted last is, by text
-        who = np.arange(m)
-        for j in range(width - 1):
-            live = back[j, who] > 0
-            at, who = at[live], who[live]
-            if not len(who):
-                break
-            b, lcp, num = bwt.read(), common.read(), number.read()
-            c = back[j, who].astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            first = np.cumsum(np.bincount(b + 1, minlength=len(symbols) + 3))  # of BWT symbols under c: first[c]
-            idx = np.empty(len(b), np.int64)
-            idx[order] = np.arange(len(b))
-            idx = idx[at]
-            new = m + idx - first[1]
-            ext = np.append(lcp, 0)
-
-            def least(lo: np.ndarray, hi: np.ndarray, ext: np.ndarray = ext) -> np.ndarray:
-                """min(lcp[lo:hi]); starts fall, so that no run but these is read."""
-                if not len(lo):
-                    return np.zeros(0, np.int64)
-                down = np.argsort(-lo, kind="stable")
-                out = np.empty(len(lo), np.int64)
-                out[down] = np.minimum.reduceat(ext, np.stack([lo[down], hi[down]], 1).ravel())[::2]
-                return out
-
-            up = np.flatnonzero(idx > first[c])
-            above = np.zeros(len(who), np.int64)
-            above[up] = np.minimum(1 + least(order[idx[up] - 1] + 1, at[up] + 1), length)
-            dn = np.flatnonzero(idx + 1 < first[c + 1])
-            below = np.minimum(1 + least(at[dn] + 1, order[idx[dn] + 1] + 1), length)
-            size = len(b) + len(who)
-            old = np.ones(size, bool)
-            old[new] = False
-            merged = []
-            for have, put in ((b, back[j + 1, who]), (lcp, above), (num, who * width + j + 1)):
-                x = np.empty(size, have.dtype)
-                x[old] = have
-                x[new] = put
-                merged.append(x)
-            after = new[dn] + 1
-            stay = old[after]  # a new suffix below has its own value already
-            merged[1][after[stay]] = below[stay]
-            for column, x in zip((bwt, common, number), merged, strict=True):
-                column.write(x)
-            at = new
-        lcp, num = common.read(), number.read()
+    bwt, common = Column(folder, "bwt", spill), Column(folder, "lcp", spill)
+
+    def steps(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows by symbol, place of each row in them, first place of each symbol)."""
+        order = np.argsort(b, kind="stable")
+        idx = np.empty(len(b), np.int64)
+        idx[order] = np.arange(len(b))
+        return order, idx, np.cumsum(np.bincount(b.astype(np.int64) + 1, minlength=len(symbols) + 3))
+
+    bwt.write(back[0])
+    common.write(np.zeros(m, np.uint8 if length < 256 else np.uint16 if length < 1 << 16 else np.uint32))
+    at = np.arange(m)  # where the suffix inserted last is, by text
+    who = np.arange(m)
+    for j in range(width - 1):
+        live = back[j, who] > 0
+        at, who = at[live], who[live]
+        if not len(who):
+            break
+        b, lcp = bwt.read(), common.read()
+        c = back[j, who].astype(np.int64)
+        order, idx, first = steps(b)
+        idx = idx[at]
+        new = m + idx - first[1]
+        ext = np.append(lcp, lcp.dtype.type(0))
+
+        def least(lo: np.ndarray, hi: np.ndarray, ext: np.ndarray = ext) -> np.ndarray:
+            """min(lcp[lo:hi]); starts fall, so that no run but these is read."""
+            if not len(lo):
+                return np.zeros(0, np.int64)
+            down = np.argsort(-lo, kind="stable")
+            out = np.empty(len(lo), np.int64)
+            out[down] = np.minimum.reduceat(ext, np.stack([lo[down], hi[down]], 1).ravel())[::2]
+            return out
+
+        up = np.flatnonzero(idx > first[c])
+        above = np.zeros(len(who), np.int64)
+        above[up] = np.minimum(1 + least(order[idx[up] - 1] + 1, at[up] + 1), length)
+        dn = np.flatnonzero(idx + 1 < first[c + 1])
+        below = np.minimum(1 + least(at[dn] + 1, order[idx[dn] + 1] + 1), length)
+        size = len(b) + len(who)
+        old = np.ones(size, bool)
+        old[new] = False
+        merged = []
+        for have, put in ((b, back[j + 1, who]), (lcp, above)):
+            x = np.empty(size, have.dtype)
+            x[old] = have
+            x[new] = put
+            merged.append(x)
+        after = new[dn] + 1
+        stay = old[after]  # a new suffix below has its own value already
+        merged[1][after[stay]] = below[stay]
+        bwt.write(merged[0])
+        common.write(merged[1])
+        at = new
+    b, lcp = bwt.read(), common.read()
+    bwt.close()
+    common.close()
     dup = lcp >= length
     dup[:-1] |= dup[1:]
-    found = num[dup]
-    text = found // width
-    return text, sizes[text] - found % width
+    _, idx, first = steps(b)
+    idx += m - first[1]
+    at, who, text, place = np.arange(m), np.arange(m), [], []
+    for j in range(width - 1):
+        live = b[at] > 0
+        at, who = idx[at[live]], who[live]
+        hit = dup[at]
+        text.append(who[hit])
+        place.append(sizes[who[hit]] - j - 1)
+    return np.concatenate(text), np.concatenate(place)
 
 
 def block(length: int) -> int:
@@ -208,7 +288,7 @@ def block(length: int) -> int:
     return next(b for b in (8, 4, 2, 1) if length % b == 0)
 
 
-def repeated_windows(segs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(segs: list[bytes], folder: str, length: int = LENGTH, spill: int = SPILL) -> tuple[np.ndarray, np.ndarray]:
     """(part, start) of each window of the parts that another one equals.
 
     A part joins the collection once for each byte phase, as a text of blocks, so that each window starts a
@@ -222,19 +302,19 @@ def repeated_windows(segs: list[bytes], length: int = LENGTH) -> tuple[np.ndarra
             texts.append(np.frombuffer(seg, f"<u{size}", n, r))
             part.append(k)
             start.append(r)
-    text, at = repeated(texts, length // size)
+    text, at = repeated(texts, length // size, folder, spill)
     return np.array(part, np.int64)[text], np.array(start, np.int64)[text] + at * size
 
 
-def _collections(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _collections(batches: Iterator[pa.RecordBatch], length: int, folder: str, spill: int) -> Iterator[pa.RecordBatch]:
     """Parts in order of their anchors: the repeated windows of those not yet decided."""
     segs: list[bytes] = []
     keys: list[tuple] = []
-    last = None
+    last, size, own = None, 0, 0  # own: parts of the last anchor
 
     def done() -> Iterator[pa.RecordBatch]:
         rows, los, alone = (np.array(x) for x in zip(*keys, strict=True))
-        text, place = repeated_windows(segs, length)
+        text, place = repeated_windows(segs, folder, length, spill)
         keep = alone[text]
         text, place = text[keep], place[keep]
         order = np.lexsort((place, text))
@@ -242,69 +322,81 @@ def _collections(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         start = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(place, prepend=-9) != 1))
         yield pa.RecordBatch.from_arrays([pa.array(rows[text[start]], pa.int64()), pa.array((los[text[start]] + place[start]).astype(np.int32)), pa.array(np.diff(start, append=len(text)).astype(np.int16))], ["_row", "lo", "n"])
 
+    let_go()
     for batch in batches:
-        for h, seg, row, lo, c in zip(*(batch.column(x).to_pylist() for x in ("h", "seg", "_row", "lo", "c")), strict=True):
-            if h != last and len(segs) >= GATHER:
-                yield from done()
-                segs, keys = [], []
-            last = h
+        for h, seg, row, lo, alone in zip(*(batch.column(x).to_pylist() for x in ("h", "seg", "_row", "lo", "alone")), strict=True):
+            if h != last:
+                if own == 1:  # nothing to meet
+                    size -= len(segs.pop())
+                    keys.pop()
+                if size >= GATHER:
+                    yield from done()
+                    segs, keys, size = [], [], 0
+                own = 0
+            last, own = h, own + 1
             segs.append(seg)
-            keys.append((row, lo, c == 1))
+            keys.append((row, lo, alone))
+            size += len(seg)
     if segs:
         yield from done()
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the parts asked for."""
+def _fetch(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the parts asked for, split by a longer anchor.
+
+    Windows that have the anchor at one of so many neighbouring places share all bytes but twice as many at their
+    ends, less two. So they go by a digest of these shared bytes. The places are dealt to two halves; for an
+    anchor with over `most` kinds, to runs of SPLIT.
+    """
+    let_go()
     for batch in batches:
         for part in slices(batch, "_text"):
             out: list[tuple] = []
             for row, text, asked in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), part.column("asked").to_pylist(), strict=True):
                 raw = text.encode()
-                out += [(x["h"], x["g"], raw[x["lo"] : x["lo"] + x["n"] + length - 1], row, x["lo"], x["c"]) for x in asked]
+                for x in asked:
+                    lo, n, alone = x["lo"], x["n"], x["c"] == 1
+                    step = (length - ANCHOR + 2) // 2 if x["g"] <= most else SPLIT
+                    at = lo + x["q"]  # windows from lo to lo + n - 1 have the anchor q - (n - 1) .. q bytes after their start
+                    for near in range(0, x["q"] + 1, step):
+                        a, z = max(lo, at - near - step + 1), min(lo + n - 1, at - near)
+                        if a <= z:
+                            same = raw[at - near : at - near - step + 1 + length]
+                            key = hashlib.blake2b(same, digest_size=8, salt=near.to_bytes(8, "little")).digest()
+                            out.append((int.from_bytes(key, "little", signed=True), raw[a : z + length], row, a, alone))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["h", "g", "seg", "_row", "lo", "c"])
-
-
-def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for seg, row, lo, c in zip(*(batch.column(x).to_pylist() for x in ("seg", "_row", "lo", "c")), strict=True):
-            n = len(seg) - length + 1
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(seg[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array(np.full(n, row)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(np.full(n, c))], ["key", "_row", "lo", "c"])
-
-
-def _by_size(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["h", "seg", "_row", "lo", "alone"])
 
 
 def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_row, cover): runs (lo, n) of starts, in bytes of the text, of windows that start elsewhere too.
 
-    1. Each text is cut into parts by anchors. 2. Parts whose anchor occurs once hold no repeat; parts that
-    are equal as a whole, bytes and anchor place, are repeats without more ado, however many. 3. The rest, parts
-    that share an anchor but not all bytes (where repeats begin and end), go by anchor into collections with
-    one copy of each equal part, for repeated(). An anchor with over COLLECTION different parts is matched by
-    the digest of each window instead, which splits it over all tasks.
+    1. Each text is cut into parts by anchors. 2. Parts whose anchor occurs once hold no repeat. Of parts that are
+    equal as a whole (by two digests, and the anchor's place), however many, one stands for all, and all are
+    repeats. 3. Where one anchor has several kinds of parts, some of them single (where repeats begin and
+    end), the kinds go by anchor into collections for repeated().
     """
-    spark = rows.sparkSession
-    parts = materialize(rows.mapInArrow(lambda b: _parts(b, length), "h long, digest long, _row long, lo int, n short"), "op1-parts")
-    twice = parts.groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("c > 1").select("h", (F.col("a") != F.col("z")).alias("mixed"))
+    spark, most, spill = rows.sparkSession, COLLECTION, SPILL
+    parts = materialize(rows.mapInArrow(lambda b: _parts(b, length), PARTS), "op1-parts")
+    kind = F.struct("d", "e")
+    twice = parts.groupBy("h").agg(F.count("*").alias("c"), F.min(kind).alias("a"), F.max(kind).alias("z")).where("c > 1").select("h", (F.col("a") != F.col("z")).alias("mixed"))
     twice = materialize(twice, "op1-twice")  # a plain side, so that the join's hot anchors can be split
     met = materialize(parts.join(twice, "h"), "op1-met")
-    forget(parts)
+    forget(parts, twice)
     mixed = met.where("mixed")
-    kinds = materialize(mixed.groupBy("h", "digest").agg(F.count("*").alias("c"), F.min(F.struct("_row", "lo", "n")).alias("x")).select("h", "digest", "c", "x.*"), "op1-kinds")
+    kinds = materialize(mixed.groupBy("h", "d", "e").agg(F.count("*").alias("c"), F.min(F.struct("_row", "lo", "n", "q")).alias("x")).select("h", "d", "e", "c", "x.*"), "op1-kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("g"), F.min("c").alias("least")).where("least = 1").select("h", "g")
-    asked = materialize(kinds.join(groups, "h").groupBy("_row").agg(F.collect_list(F.struct("h", "g", "lo", "n", "c")).alias("asked")), "op1-asked")
-    segments = materialize(rows.join(_by_size(asked, 10 * BROADCAST_ROWS), "_row").mapInArrow(lambda b: _fetch(b, length), "h long, g long, seg binary, _row long, lo int, c long"), "op1-segments")
-    edges = segments.where(F.col("g") <= COLLECTION).drop("g").repartition(partitions(spark), "h").sortWithinPartitions("h", "_row", "lo").mapInArrow(lambda b: _collections(b, length), "_row long, lo int, n short")
-    hot = segments.where(F.col("g") > COLLECTION)
-    equal = met.where("not mixed").select("_row", "lo", "n").union(mixed.join(kinds.where("c > 1").select("h", "digest"), ["h", "digest"]).select("_row", "lo", "n"))
-    found = equal.union(edges)
-    if not hot.isEmpty():
-        each = hot.mapInArrow(lambda b: _digests(b, length), "key binary, _row long, lo int, c long")
-        found = found.union(each.where("c = 1").join(each.groupBy("key").count().where("count > 1"), "key").select("_row", "lo", F.lit(1).cast("short").alias("n")))
-    return materialize(found.groupBy("_row").agg(F.collect_list(F.struct("lo", "n")).alias("cover")), "op1-spans")
+    asked = materialize(kinds.join(groups, "h").groupBy("_row").agg(F.collect_list(F.struct("h", "g", "lo", "n", "q", "c")).alias("asked")), "op1-asked")
+    segments = rows.join(asked, "_row").mapInArrow(lambda b: _fetch(b, length, most), "h long, seg binary, _row long, lo int, alone boolean")
+    folder = f"{shared_dir(spark)}/op1-columns-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    edges = segments.repartition(partitions(spark), "h").sortWithinPartitions("h", "_row", "lo").mapInArrow(lambda b: _collections(b, length, folder, spill), "_row long, lo int, n short")
+    equal = met.where("not mixed").select("_row", "lo", "n").union(mixed.join(kinds.where("c > 1").select("h", "d", "e"), ["h", "d", "e"]).select("_row", "lo", "n"))
+    found = materialize(equal.union(edges).groupBy("_row").agg(F.collect_list(F.struct("lo", "n")).alias("cover")), "op1-spans")
+    forget(met, kinds, asked)
+    delete(spark, folder)
+    return found
 
 
 def _kept(text: str, cover: list | None, length: int) -> tuple[bytes, int, int, int]:
@@ -321,7 +413,7 @@ def _kept(text: str, cover: list | None, length: int) -> tuple[bytes, int, int,
 
 
 def _cover(rows: DataFrame, length: int) -> DataFrame:
-    return rows.join(_by_size(spans(rows, length)), "_row", "left")
+    return rows.join(spans(rows, length), "_row", "left")
 
 
 def substring_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -356,7 +448,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return own.join(_by_size(cover), row, "left").drop(row).mapInArrow(run, schema)
+    return own.join(cover, row, "left").drop(row).mapInArrow(run, schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
