@@ -127,17 +127,6 @@ def norm_title(t: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
 
 
-def prose(t: Column) -> Column:
-    return t.rlike(r'^[A-Z0-9“"(]') & t.rlike(r"[.?!][”\")]?$")
-
-
-def is_reference_free(t: Column, mark: str) -> Column:
-    """Text without bracketed cross-references, or null where one is part of a sentence."""
-    bare = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), rf"(?i)\(\s*(?:see\s*)?(?:(?:{mark}|and|or|,|;|–|-)\s*)*\)", "")
-    tidy = F.regexp_replace(F.regexp_replace(bare, r"\[\s*\]", ""), r"\s+([,.;:])", "$1")
-    return F.when(~F.contains(bare, F.lit(mark)), F.trim(F.regexp_replace(tidy, r"\s+", " ")))
-
-
 def embed_text(subject: Column, unit: Column, topic: Column, text: Column, keywords: Column) -> Column:
     return F.concat(subject, F.lit(" > "), unit, F.lit(" > "), topic, F.lit(": "), text, F.lit(" Keywords: "), F.array_join(keywords, ", "))
 

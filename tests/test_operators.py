@@ -69,6 +69,9 @@ def test_json_and_letters(spark):
     assert jsonval.balanced('x {"a": "}", "b": {}} y') == '{"a": "}", "b": {}}' and jsonval.balanced("{") is None and jsonval.balanced('{ "a {"b": 1}') == '{"b": 1}'
     assert jsonval.rewritten("B is correct. A cell, unlike (D) or vitamin B.", "B", "D") == "D is correct. A cell, unlike (B) or vitamin B."
     assert jsonval.rewritten("Unlike B, it grows.", "B", "C") is None
+    for text, want in {"Options A, B and C fail.": "Options D, B and C fail.", "The correct answer is A.": "The correct answer is D.", "A: yes": "D: yes", "It ends. A) so": "It ends. D) so", "Type A is fine, D is incorrect.": "Type A is fine, A is incorrect.", "A cell": "A cell", "Answer: A": None}.items():
+        assert jsonval.rewritten(text, "A", "D") == want, text
+    assert jsonval.balanced('{"a": "unclosed } {"b": 1}') == '{"b": 1}' and jsonval.balanced('say {"x": "\\"}"} {}') == '{"x": "\\"}"}'
     block = F.lit('{"stem": "What is it that is asked?", "choices": {"A": "a", "B": "b", "C": "c", "D": "d"}, "answer": "E", "explanation": "x", "lo_id": "l", "difficulty": "easy", "more": 1}')
     assert one(spark, jsonval.schema_errors(block))[0] == ["extra", "answer"]
     assert one(spark, jsonval.parse_reason(F.lit("[1]")), jsonval.parse_reason(F.lit('{"a": 1}')))[0] == "bad_json"
@@ -80,10 +83,27 @@ def test_textbook(spark):
     assert r["title"] == "Cells" and [p["text"] for p in r["paragraphs"]] == ["Cells are small x^2 units.", None, None, None]
     long = "A sentence that is long enough to count here. " * 4
     assert textbook.chunks([("a", "Short one."), ("a", long.strip()), ("a", None), ("a", "This relation " + long)]) == ["Short one. " + long.strip()]
-    import xml.etree.ElementTree as ET
-
-    ex = ET.fromstring('<exercise><problem><para>Which?</para><list number-style="lower-alpha"><item>a1</item><item>b1</item><item>c1</item><item>d1</item></list></problem><solution><para>(c)</para></solution></exercise>')
-    assert textbook.exercise(ex)["key"] == "C"
+    ask = '<exercise id="e1"><problem><para>Which?</para><list number-style="lower-alpha"><item>a1</item><item>b1</item><item>c1</item><item>d1</item></list></problem><solution><para>(c)</para></solution></exercise>'
+    more = [
+        ask, ask.replace("(c)", "(e)"), ask.replace("d1", "A1"), ask.replace("<para>Which?</para>", '<para>Which [ ] of <math><msubsup><mi>x</mi><mn>1</mn><mn>2</mn></msubsup><mover><mi>v</mi><mo>-</mo></mover><annotation>no</annotation></math> ?</para>'),
+        ask.replace("<para>Which?</para>", '<para>See</para><list number-style="upper-roman"><item>one</item><item>two</item></list>'), ask.replace("<para>Which?</para>", "<list><item>z</item></list>"),
+        ask.replace("<para>Which?</para>", '<para>As <link target-id="f"/></para>'), ask.replace('<list number-style="lower-alpha"><item>a1</item><item>b1</item><item>c1</item><item>d1</item></list>', "".join(f"<para>({x}) is {x}</para>" for x in "abcd")),
+    ]
+    doc = "<document><title>T</title><content>" + "".join(more) + '<section class="chapter-review"><para>Not read here.</para></section><para>where v is small.</para><note><para>No.</para></note><para></para></content></document>'
+    m = spark.createDataFrame([(doc,), ("<broken",), (None,)], "x string").select(textbook.parse_module("x").alias("m")).collect()
+    assert [(q["stem"], q["key"]) for q in m[0]["m"]["questions"]] == [("Which?", "C"), ("Which of x_1^2v ?", "C"), ("See I. one II. two", "C"), ("Which?", "C")]
+    assert m[0]["m"]["questions"][3]["options"] == ["is a", "is b", "is c", "is d"]
+    assert [p["text"] for p in m[0]["m"]["paragraphs"]] == [None] * 10
+    assert m[1]["m"]["paragraphs"] == [] and m[2]["m"]["questions"] == []
+    book = "<collection><title>B</title><content><subcollection><title>Unit</title><content><subcollection><title>One</title><content><module document='m1'/><module document='m2'/></content></subcollection><subcollection><title>Two</title><content><module document='m3'/></content></subcollection></content></subcollection></content></collection>"
+    order = spark.createDataFrame([(book,)], "x string").select(F.inline(textbook.collection_modules("x")))
+    assert [tuple(r) for r in order.collect()] == [("m1", "One", 1, "1.0"), ("m2", "One", 1, "1.1"), ("m3", "Two", 2, "2.0")]
+    body = "<document><title>{}</title><content><para>Cells are small units of life.</para></content></document>"
+    modules = spark.createDataFrame([("m1", body.format("Intro")), ("m2", body.format("Cells")), ("m3", body.format("Introduction"))], "module string, xml string")
+    assert {r["module"]: len(r["paragraphs"]) for r in textbook.load_book(modules, order).collect()} == {"m1": 0, "m2": 1, "m3": 0}
+    text = " ".join(f"This is sentence number {i} of the passage." for i in range(40))
+    fitted = one(spark, textbook.fit_length(F.lit(text), 300), textbook.fit_length(F.lit("Too short to fit."), 300))
+    assert 150 <= len(fitted[0]) <= 300 and text.startswith(fitted[0]) and fitted[1] == "Too short to fit."
 
 
 def test_readers_and_sinks(spark, tmp_path):
