@@ -13,8 +13,8 @@ STOP = (
     "do does did it its from into can could would will may might than then there their they these those called known"
 ).split()
 # Signs of higher-order and of recall questions.
-HIGHER = r"(?i)\b(why|explain|predict|would happen|most likely|best explains|infer|compare|which of the following|results? in|because|effect of|cause[sd]?|if)\b"
-RECALL = r"(?i)\b(is called|are called|what is the name|known as|term for|what type|what kind)\b"
+HIGHER = r"why|explain|predict|would happen|most likely|best explains|infer|compare|which of the following|results? in|because|effect of|cause[sd]?|if"
+RECALL = r"is called|are called|what is the name|known as|term for|what type|what kind"
 # Fixed value: phrases an option must not be.
 BANNED = r"(?i)\b(all|none|both) of the (above|these|following)\b"
 #: Opens the stem of a stimulus question.
@@ -101,7 +101,8 @@ def norm_answer(t: Column, strip_articles: bool = False) -> Column:
 
 
 def bloom_score(question: Column) -> Column:
-    return question.rlike(HIGHER).cast("double") - question.rlike(RECALL).cast("double")
+    found = lambda p: question.rlike(rf"(?iU)\b({p})\b").cast("double")
+    return found(HIGHER) - found(RECALL)
 
 
 def tag_text(stem: Column, correct: Column) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,17 +14,37 @@ from pyspark.sql.window import Window
 PRIORITY = ("test", "valid", "train")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared checkpoint folder; it goes when the application ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = os.path.join(tempfile.gettempdir(), f"shared-{spark.sparkContext.applicationId}")
+    path = f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    files.deleteOnExit(target)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared checkpoint folder, which survives lost executors."""
+    """Cut lineage by a table in the shared folder, which survives lost executors."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"shared-{spark.sparkContext.applicationId}")
-    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table of cut() once no plan needs it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
 def star_links(items: DataFrame, key: str, id_col: str = "id") -> DataFrame:
     """(a, b): each item to the least one with its key. Null keys never link."""
     first = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_col).alias("b"))
@@ -40,9 +60,11 @@ def connected(edges: DataFrame) -> DataFrame:
         spread = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jump = spread.select(F.col("node").alias("via"), F.col("root").alias("far"))
         new = cut(spread.join(jump, spread["root"] == jump["via"], "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
+        drop_cut(label)
         label = new.select("node", "root")
+        if new.where("root <> old").isEmpty():
+            drop_cut(both)
+            return label
 
 
 def groups(items: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:

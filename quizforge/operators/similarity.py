@@ -33,7 +33,7 @@ def cosine_pairs(vecs: DataFrame, over: float, id_col: str = "id", vec_col: str
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids = np.asarray(rows.column("id"))
         order = np.argsort(ids)
-        m = np.array(rows.column("vec").to_pylist(), np.float64).reshape(len(ids), -1)[order]
+        m = np.asarray(rows.column("vec").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)[order]
         ids = ids[order]
         cos = m @ m.T
         a, b = np.nonzero(np.triu(cos > over, 1))
@@ -58,14 +58,14 @@ def gate(scores: DataFrame, query: str = "id", key: str = "subject", margin: flo
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumn("best", F.max("score").over(Window.partitionBy(query))).where(F.col("score") >= F.col("best") - margin).drop("best")
 
 
-def top_k(queries: DataFrame, entries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(id, entry, score, rank): the k best entries of each query, in allowed (id, subject) pairs only if given.
+def top_k(queries: DataFrame, entries: DataFrame, k: int, allowed: DataFrame | None = None, but_self: bool = False) -> DataFrame:
+    """(id, entry, score, rank): the k best entries of each query, in allowed (id, subject) pairs only if given, without the query itself if but_self.
 
     queries (id, vec), entries (entry, evec[, subject]). Entries are a dimension; their size decides if they
     are broadcast (spark.sql.autoBroadcastJoinThreshold).
     """
     pairs = queries.join(allowed, "id").join(entries, "subject") if allowed is not None else queries.crossJoin(entries)
-    scored = pairs.select("id", "entry", dot("vec", "evec").alias("score"))
+    scored = (pairs.where("id <> entry") if but_self else pairs).select("id", "entry", dot("vec", "evec").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "entry")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -81,14 +81,82 @@ def hashed_embedding(docs: DataFrame, id_col: str, words: Column, dim: int = 64)
     return sums.select("id", "bucket", (F.col("s") / F.sqrt(F.sum(F.col("s") ** 2).over(Window.partitionBy("id")))).alias("w"))
 
 
-def novelty(items: DataFrame, bank: DataFrame, limit: float = 0.92) -> DataFrame:
-    """(id, max_cos, novel): against bank rows of another id and another group (null groups are no group)."""
-    b = bank.select(F.col("id").alias("bid"), F.col("group").alias("bgroup"), F.col("vec").alias("bvec"))
-    other = items.join(b, (F.col("id") != F.col("bid")) & F.coalesce(F.col("group") != F.col("bgroup"), F.lit(True)))
-    found = other.groupBy("id").agg(F.max(dot("vec", "bvec")).alias("max_cos"))
+def rerank(found: DataFrame, scores: DataFrame) -> DataFrame:
+    """Candidates (id, entry, score, rank) ranked anew by a second score (id, entry, second); those it lacks come last, as they were."""
+    w = Window.partitionBy("id").orderBy(F.desc_nulls_last("second"), "rank")
+    return found.join(scores, ["id", "entry"], "left").withColumn("rank", F.row_number().over(w))
+
+
+def neighbours(vecs: DataFrame, key: str = "subject") -> DataFrame:
+    """(src, dst, sim, rank) of entries of one key, by similarity (ties: the lesser)."""
+    other = vecs.select(F.col("id").alias("dst"), F.col("vec").alias("ovec"), key)
+    pairs = vecs.join(other, key).where("id <> dst").select(F.col("id").alias("src"), "dst", dot("vec", "ovec").alias("sim"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst")))
+
+
+def threshold_edges(graph: DataFrame, over: float = 0.8) -> DataFrame:
+    return graph.where(F.col("sim") > over).select("src", "dst", "sim")
+
+
+def novelty(items: DataFrame, bank: DataFrame, limit: float = 0.92, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(id, max_cos, novel): against bank rows of another id and another group (null groups are no group); -1 against none.
+
+    Both sides go to blocks; a task multiplies two blocks and keeps each item's maximum, so no pair leaves it.
+    """
+    rows, cols = blocks or (max(1, -(-items.count() // BLOCK)), max(1, -(-bank.count() // BLOCK)))
+    i = items.select(F.lit(0).alias("side"), "id", F.col("group").cast("string").alias("group"), "vec", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
+    b = bank.select(F.lit(1).alias("side"), "id", F.col("group").cast("string").alias("group"), "vec", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int").alias("j"))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        flat = t.column("vec").combine_chunks().flatten()
+        return np.asarray(flat, np.float64).reshape(t.num_rows, -1)
+
+    def best(key: tuple, rows_: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        mine, other = (rows_.filter(pc.equal(rows_.column("side"), s)).combine_chunks() for s in (0, 1))
+        out = np.full(mine.num_rows, -1.0)
+        if mine.num_rows and other.num_rows:
+            ids = [np.asarray(t.column("id")) for t in (mine, other)]
+            codes = pa.chunked_array([*mine.column("group").chunks, *other.column("group").chunks]).combine_chunks().dictionary_encode()
+            group = np.asarray(codes.indices.fill_null(-1))
+            g, h = group[: mine.num_rows], group[mine.num_rows :]
+            cos = matrix(mine) @ matrix(other).T
+            cos[(ids[0][:, None] == ids[1][None, :]) | ((g[:, None] == h[None, :]) & (g[:, None] >= 0))] = -1
+            out = cos.max(1)
+        return pa.table({"id": mine.column("id"), "c": pa.array(out)})
+
+    found = i.unionByName(b).groupBy("i", "j").applyInArrow(best, "id long, c double").groupBy("id").agg(F.max("c").alias("max_cos"))
     return items.select("id").join(found, "id", "left").select("id", F.coalesce("max_cos", F.lit(-1.0)).alias("max_cos")).withColumn("novel", F.col("max_cos") < limit)
 
 
+def copies(items: DataFrame, train: DataFrame, limit: float = 0.92) -> DataFrame:
+    """(id, memorised, source_copy): near a training row, near its own source (source_vec, null if it has none)."""
+    near = novelty(items.select("id", F.lit(None).cast("string").alias("group"), "vec"), train.select(F.col("id"), F.lit(None).cast("string").alias("group"), "vec"), limit)
+    own = items.select("id", F.coalesce(dot("vec", "source_vec") >= limit, F.lit(False)).alias("source_copy"))
+    return near.select("id", (~F.col("novel")).alias("memorised")).join(own, "id")
+
+
+def accepted(items: DataFrame, key: str, limit: float = 0.92) -> DataFrame:
+    """(id, novel) as items (id, key, ordinal, vec) arrive: novel if far from all accepted before it under its key, and so accepted.
+
+    A key's items are one task (an objective's drafts, which generation bounds), as each answer needs those before.
+    """
+
+    def run(name: tuple, rows: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(rows.column("ordinal")), kind="stable")
+        m = np.asarray(rows.column("vec").combine_chunks().flatten(), np.float64).reshape(rows.num_rows, -1)
+        kept: list[int] = []
+        novel = np.zeros(rows.num_rows, bool)
+        for k in order:
+            if not kept or (m[kept] @ m[k]).max() < limit:
+                novel[k] = True
+                kept.append(int(k))
+        return pa.table({"id": rows.column("id"), "novel": pa.array(novel)})
+
+    return items.select(key, "id", "ordinal", "vec").groupBy(key).applyInArrow(run, "id long, novel boolean")
+
+
 def embed(docs: DataFrame, id_col: str, text_col: str, encode, schema: str = "id long, vec array<float>") -> DataFrame:
     """Hook for a model: encode(list of texts) gives a matrix; runs in Arrow batches."""
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import response as R
 from ..functions import text as T
 from ..functions.dialect import Duck, Spark
-from ..operators import grouping, jsonval, leakage, quota, similarity, stats, textbook, tracing
+from ..operators import curation, grouping, jsonval, leakage, quota, similarity, stats, textbook, tracing
 from . import shared
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 D = Duck()
+#: Resamples of a bootstrap.
+DRAWS = 5000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,17 +52,20 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Links of equal passages and of equal openings."""
-    d = items(spark, sf).select("id", T.passage_hash(F.col("text")).alias("p"), F.md5(F.substring("text", 1, 60)).alias("q"))
-    return grouping.star_links(d, "p").union(grouping.star_links(d, "q"))
+    """Links of equal passages, of equal questions (the first 12 words) with equal answers (the source), and of near vectors."""
+    w = T.words(F.col("text"))
+    d = items(spark, sf).select("id", T.passage_hash(F.col("text")).alias("p"), T.qa_hash(F.array_join(F.slice(w, 1, 12), " "), F.col("source")).alias("q"))
+    near = similarity.cosine_pairs(vecs(spark, sf), 0.92).select("a", "b")
+    known = near.join(d.select(F.col("id").alias("a")), "a").join(d.select(F.col("id").alias("b")), "b").select("a", "b")
+    return grouping.star_links(d, "p").union(grouping.star_links(d, "q")).union(known)
 
 
 def grouped(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.assign_splits(grouping.groups(items(spark, sf).select("id", "split"), edges(spark, sf)))
 
 
-_EDGES = """d AS (SELECT doc_id AS id, CASE WHEN trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^a-z0-9 ]+', ' ', 'g'), '[ ]+', ' ', 'g')) <> '' THEN md5(trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^a-z0-9 ]+', ' ', 'g'), '[ ]+', ' ', 'g'))) END AS p, md5(substring(text, 1, 60)) AS q FROM documents),
-e AS (SELECT id AS a, min(id) OVER (PARTITION BY p) AS b FROM d WHERE p IS NOT NULL UNION SELECT id, min(id) OVER (PARTITION BY q) FROM d),
+_EDGES = """d AS (SELECT doc_id AS id, CASE WHEN trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^a-z0-9 ]+', ' ', 'g'), '[ ]+', ' ', 'g')) <> '' THEN md5(trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^a-z0-9 ]+', ' ', 'g'), '[ ]+', ' ', 'g'))) END AS p, md5(array_to_string((regexp_extract_all(lower(text), '[a-z0-9]+'))[1:12], ' ') || '||' || lower(source)) AS q FROM documents),
+e AS (SELECT id AS a, min(id) OVER (PARTITION BY p) AS b FROM d WHERE p IS NOT NULL UNION SELECT id, min(id) OVER (PARTITION BY q) FROM d UNION SELECT x.vec_id, y.vec_id FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id JOIN documents ON doc_id = y.vec_id WHERE list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) > 0.92),
 u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 walk AS (SELECT id AS node, id AS seen FROM d UNION SELECT walk.node, u.b FROM walk JOIN u ON u.a = walk.seen),
 g AS (SELECT node AS id, min(seen) AS grp FROM walk GROUP BY node)"""
@@ -134,8 +139,8 @@ def centroid_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def topk_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     v = vecs(spark, sf)
-    entries = v.where("id % 10 = 0").select(F.col("id").alias("entry"), F.col("vec").alias("evec"), "subject")
-    found = similarity.top_k(v.where("id % 10 <> 0").select("id", "vec"), entries, 3, _gates(spark, sf).select("id", "subject"))
+    entries = v.select(F.col("id").alias("entry"), F.col("vec").alias("evec"), "subject")
+    found = similarity.top_k(v.select("id", "vec"), entries, 3, _gates(spark, sf).select("id", "subject"), but_self=True)
     return found.select("id", "entry", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -148,14 +153,14 @@ def aligned_target(spark: SparkSession, sf: str) -> DataFrame:
 
 def tau_calibration_cv(spark: SparkSession, sf: str) -> DataFrame:
     v = vecs(spark, sf)
-    own = v.join(similarity.centroids(v), "subject").select("id", similarity.dot("vec", "centroid").alias("score"), (F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % 2).alias("fold"))
+    own = curation.halves(v.join(similarity.centroids(v), "subject").select("id", similarity.dot("vec", "centroid").alias("score")), "fold")
     tau = own.groupBy((1 - F.col("fold")).alias("fold")).agg(F.percentile("score", F.lit(0.2)).alias("tau"))
     return own.join(tau, "fold").groupBy("fold").agg(F.round(F.first("tau"), 6).alias("tau"), F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("tau")).alias("aligned"))
 
 
 def novelty_max_cos(spark: SparkSession, sf: str) -> DataFrame:
     v = vecs(spark, sf).withColumnRenamed("subject", "group")
-    return similarity.novelty(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 0.4).select("id", F.round("max_cos", 6).alias("max_cos"), "novel")
+    return similarity.novelty(v, v, 0.4).select("id", F.round("max_cos", 6).alias("max_cos"), "novel")
 
 
 def neighbour_graph_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,7 +190,7 @@ def difficulty_tertiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def balanced_letters_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    i = items(spark, sf).where("split = 'valid'").select("id")
+    i = items(spark, sf).select("id")
     fixed = i.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("letter"))
     return quota.balanced_letters_fixed(i.where("id % 3 <> 0"), fixed)
 
@@ -197,20 +202,20 @@ def _arms(spark: SparkSession, sf: str) -> DataFrame:
 
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     d = _arms(spark, sf).select("id", (F.col("quality") - (1 - F.col("toxic"))).alias("d"))
-    return stats.interval(stats.bootstrap(d, "d", 100, "pair", ["id"])).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return stats.interval(stats.bootstrap(d, "d", DRAWS, "pair", ["id"])).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def independent_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     d = _arms(spark, sf)
-    a = stats.bootstrap(d.where("id % 2 = 0"), "quality", 100, "a", ["id"]).withColumnRenamed("mean", "ma")
-    b = stats.bootstrap(d.where("id % 2 = 1"), "quality", 100, "b", ["id"]).withColumnRenamed("mean", "mb")
+    a = stats.bootstrap(d.where("id % 2 = 0"), "quality", DRAWS, "a", ["id"]).withColumnRenamed("mean", "ma")
+    b = stats.bootstrap(d.where("id % 2 = 1"), "quality", DRAWS, "b", ["id"]).withColumnRenamed("mean", "mb")
     diff = a.join(b, "draw").select((F.col("ma") - F.col("mb")).alias("mean"))
     return stats.interval(diff).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def _boot(select: str, seed: str, name: str) -> str:
     h = D.hex8(f"md5('{seed}:' || CAST(r.i AS VARCHAR) || ':' || CAST(k.i AS VARCHAR))")
-    return f"""{name}0 AS ({select}), {name}p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, x FROM {name}0), {name} AS (SELECT r.i AS draw, avg(x) AS mean FROM range(100) r(i), (SELECT unnest(range(count(*))) AS i FROM {name}0) k, {name}p WHERE pos = {h} % (SELECT count(*) FROM {name}0) GROUP BY r.i)"""
+    return f"""{name}0 AS ({select}), {name}p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, x FROM {name}0), {name} AS (SELECT r.i AS draw, avg(x) AS mean FROM range({DRAWS}) r(i), (SELECT unnest(range(count(*))) AS i FROM {name}0) k, {name}p WHERE pos = {h} % (SELECT count(*) FROM {name}0) GROUP BY r.i)"""
 
 
 def fisher(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,28 +285,31 @@ def xml_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.length(textbook.plain_text("html")).alias("n"))
 
 
+def _recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    from ..streaming import sessions
+
+    return sessions.record(sessions.responses(sessions.stream(spark, sf, pattern="events.parquet"))), grouping.shared_path(spark, "stream")
+
+
 def session_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The stream's final state of each session, over the files there are now."""
-    import uuid
-
-    from ..operators.grouping import cut
     from ..streaming import sessions
 
-    events = sessions.stream(spark, sf, pattern="events.parquet")
-    name = f"sessions_{uuid.uuid4().hex}"
-    query = sessions.session_state(sessions.responses(events)).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return cut(spark.table(name).groupBy("session").agg(F.max_by(F.struct("n", "correct", "theta", "sd"), "n").alias("s")).select("session", "s.*"))
+    rows = sessions.write_once(*_recorded(spark, sf))
+    last = rows.groupBy("session").agg(F.max_by(F.struct("seq", "right", "theta", "sd"), "seq").alias("s")).select("session", "s.*")
+    return last.select("session", F.col("seq").alias("n"), F.col("right").alias("correct"), F.round("theta", 5).alias("theta"), F.round("sd", 5).alias("sd"))
 
 
-def sim_assessment(spark: SparkSession, sf: str) -> DataFrame:
-    runs = tracing.simulate(spark, 60, 120, 30).withColumn("mode", F.lit("adaptive")).union(tracing.simulate(spark, 60, 120, 30, "random").withColumn("mode", F.lit("random")))
-    return runs.groupBy("mode", "step").agg(F.sqrt(F.avg((F.col("theta") - F.col("theta_true")) ** 2)).alias("rmse"), F.avg((F.abs(F.col("theta") - F.col("theta_true")) <= 1.96 * F.col("sd")).cast("double")).alias("coverage"))
+def elo_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Item difficulties after the stream of answers."""
+    from ..streaming import sessions
+
+    return sessions.calibrated(*_recorded(spark, sf)).select("item", "n", F.round("b", 5).alias("b"), F.round("b_used", 5).alias("b_used"))
 
 
 def bkt_em(spark: SparkSession, sf: str) -> DataFrame:
     seqs = responses(spark, sf).groupBy("session", "lo").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "correct"))), lambda s: s["correct"].cast("int")).alias("seq"))
-    par, trace = tracing.fit_em(seqs.select("seq"), iters=8)
+    par, trace = tracing.fit_em(grouping.cut(seqs.select("seq")))
     return spark.createDataFrame([(i, x, par["init"], par["learn"], par["guess"], par["slip"]) for i, x in enumerate(trace)], "iter int, log_lik double, init double, learn double, guess double, slip double")
 
 
@@ -314,7 +322,7 @@ DATAFRAME = [
     connected_components, split_assignment, split_moves, split_leakage, group_sizes, shingle_counts, containment_best, containment_both_ways, containment_pairs, cosine_pairs,
     centroid_gate, topk_retrieval, aligned_target, tau_calibration_cv, novelty_max_cos, neighbour_graph_stats, hash_embedding, same_answer_leaks, difficulty_tertiles, balanced_letters_fixed,
     paired_bootstrap, independent_bootstrap, fisher, wilson, eap_trajectory, eap_stop, bkt_mastery, elo_calibration, unit_mastery,
-    balanced_json, indel_ratio, move_key, xml_text, session_stream, sim_assessment, bkt_em, shared_mastery,
+    balanced_json, indel_ratio, move_key, xml_text, session_stream, elo_stream, bkt_em, shared_mastery,
 ]
 
 _GATE = f"""v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS BIGINT) AS subject FROM embeddings), x AS (SELECT subject, generate_subscripts(vec, 1) AS pos, unnest(vec) AS e FROM v),
@@ -326,7 +334,7 @@ ORACLES = {
     "connected_components": f"WITH RECURSIVE {_EDGES} SELECT id, grp FROM g",
     "split_assignment": f"WITH RECURSIVE {shared.items(D)}, {_EDGES}, {_SPLIT} SELECT id, split, CASE r WHEN 1 THEN 'test' WHEN 2 THEN 'valid' ELSE 'train' END AS final_split FROM f",
     "split_moves": f"WITH RECURSIVE {shared.items(D)}, {_EDGES}, {_SPLIT}, o AS (SELECT split, CASE r WHEN 1 THEN 'test' WHEN 2 THEN 'valid' ELSE 'train' END AS final FROM f) SELECT split || '->' || final AS move, count(*) AS n FROM o WHERE split <> final GROUP BY 1",
-    "split_leakage": "SELECT CAST(0 AS BIGINT) AS leaks",
+    "split_leakage": f"WITH RECURSIVE {shared.items(D)}, {_EDGES}, {_SPLIT} SELECT count(*) AS leaks FROM (SELECT grp FROM f GROUP BY grp HAVING count(DISTINCT r) > 1)",
     "group_sizes": f"WITH RECURSIVE {_EDGES} SELECT count(*) AS n_groups, max(n) AS largest FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp)",
     "shingle_counts": "SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))) AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)",
     "containment_best": f"WITH {_GRAMS}, o AS (SELECT b.id, d.id AS o, count(*) / any_value(b.size) AS r FROM bg b JOIN dg d ON d.gram = b.gram GROUP BY b.id, d.id) SELECT id, arg_min(o, o) FILTER (WHERE r = m) AS best, round(max(r), 6) AS ratio FROM (SELECT *, max(r) OVER (PARTITION BY id) AS m FROM o) GROUP BY id",
@@ -334,30 +342,38 @@ ORACLES = {
     "containment_pairs": f"WITH {_GRAMS} SELECT a.id AS a, b.id AS b FROM dg a JOIN dg b ON b.gram = a.gram AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / least(any_value(a.size), any_value(b.size)) >= 0.5",
     "cosine_pairs": f"WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS cos FROM v a JOIN v b ON a.id < b.id WHERE list_dot_product(a.v, b.v) > 0.35",
     "centroid_gate": f"WITH {_GATE} SELECT id, subject, round(score, 6) AS score, rank FROM gate",
-    "topk_retrieval": f"WITH {_GATE}, s AS (SELECT q.id, e.id AS entry, list_dot_product(q.vec, e.vec) AS score FROM v q JOIN gate ON gate.id = q.id JOIN v e ON e.subject = gate.subject AND e.id % 10 = 0 WHERE q.id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, entry) AS rank FROM s) SELECT id, entry, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
+    "topk_retrieval": f"WITH {_GATE}, s AS (SELECT q.id, e.id AS entry, list_dot_product(q.vec, e.vec) AS score FROM v q JOIN gate ON gate.id = q.id JOIN v e ON e.subject = gate.subject AND e.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, entry) AS rank FROM s) SELECT id, entry, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
     "aligned_target": f"WITH {_GATE} SELECT own.id, round(own.score, 6) AS score, own.score >= 0.2 AND EXISTS (SELECT 1 FROM gate WHERE gate.id = own.id AND gate.subject = own.subject) AS aligned FROM own",
-    "tau_calibration_cv": f"WITH {_GATE}, f AS (SELECT id, score, {D.hex8(chr(109) + 'd5(' + chr(39) + 'fold:' + chr(39) + ' || CAST(id AS VARCHAR))')} % 2 AS fold FROM own), t AS (SELECT 1 - fold AS fold, quantile_cont(score, 0.2) AS tau FROM f GROUP BY 1 - fold) SELECT f.fold, round(any_value(tau), 6) AS tau, count(*) AS n, count_if(score >= tau) AS aligned FROM f JOIN t ON t.fold = f.fold GROUP BY f.fold",
-    "novelty_max_cos": "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS g FROM embeddings), m AS (SELECT a.id, max(list_dot_product(a.v, b.v)) AS c FROM v a JOIN v b ON b.id % 5 <> 0 AND a.g <> b.g WHERE a.id % 5 = 0 GROUP BY a.id) SELECT id, round(c, 6) AS max_cos, c < 0.4 AS novel FROM m",
+    "tau_calibration_cv": f"WITH {_GATE}, f AS (SELECT id, score, CASE WHEN row_number() OVER (ORDER BY md5('fold:' || id), id) <= (SELECT count(*) // 2 FROM own) THEN 0 ELSE 1 END AS fold FROM own), t AS (SELECT 1 - fold AS fold, quantile_cont(score, 0.2) AS tau FROM f GROUP BY 1 - fold) SELECT f.fold, round(any_value(tau), 6) AS tau, count(*) AS n, count_if(score >= tau) AS aligned FROM f JOIN t ON t.fold = f.fold GROUP BY f.fold",
+    "novelty_max_cos": "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS g FROM embeddings), m AS (SELECT a.id, max(list_dot_product(a.v, b.v)) AS c FROM v a JOIN v b ON a.g <> b.g GROUP BY a.id) SELECT id, round(c, 6) AS max_cos, c < 0.4 AS novel FROM m",
     "neighbour_graph_stats": "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS g FROM embeddings), p AS (SELECT list_dot_product(a.v, b.v) AS c FROM v a JOIN v b ON a.g = b.g AND a.id < b.id) SELECT count(*) AS pairs, count_if(c > 0.2) AS over_02, count_if(c > 0.3) AS over_03, round(quantile_cont(c, 0.5), 6) AS median FROM p",
     "hash_embedding": f"WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS t FROM w), h AS (SELECT id, {D.hex8('md5(t)')} % 64 AS bucket, CASE WHEN substring(md5(t), 9, 1) < '8' THEN 1.0 ELSE -1.0 END AS s FROM t), s AS (SELECT id, bucket, sum(s)::DOUBLE AS s FROM h GROUP BY id, bucket HAVING sum(s) <> 0), e AS (SELECT id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS w FROM s) SELECT id, count(*) AS nonzero, round(max(w), 6) AS most, round(sum(w * bucket), 4) AS moment FROM e GROUP BY id",
     "same_answer_leaks": "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, source AS s FROM embeddings JOIN documents ON doc_id = vec_id) SELECT a.id, b.id AS other, round(list_dot_product(a.v, b.v), 6) AS cos FROM v a JOIN v b ON a.s = b.s AND a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.3",
     "difficulty_tertiles": f"WITH d AS (SELECT doc_id AS id, ln(1 + len(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS x, CASE WHEN regexp_matches(text, '(?i) (if|in|the) ') THEN 1.0 ELSE 0.0 END AS y FROM documents), m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM d), z AS (SELECT id, 0.75 * (x - mx) / CASE WHEN sx > 0 THEN sx ELSE 1 END + 0.25 * (y - my) / CASE WHEN sy > 0 THEN sy ELSE 1 END AS score FROM d, m), c AS (SELECT quantile_cont(score, 1/3) AS lo, quantile_cont(score, 2/3) AS hi FROM z) SELECT CASE WHEN score < lo THEN 'easy' WHEN score < hi THEN 'medium' ELSE 'hard' END AS label, count(*) AS n, round(avg(score), 6) AS mean FROM z, c GROUP BY 1",
-    "balanced_letters_fixed": f"WITH {shared.items(D)}, i AS (SELECT id FROM items WHERE split = 'valid'), fx AS (SELECT CASE WHEN id % 2 = 0 THEN 'A' ELSE 'B' END AS letter FROM i WHERE id % 3 = 0), l AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D')) t(letter)), c AS (SELECT l.letter, count(fx.letter) AS c FROM l LEFT JOIN fx ON fx.letter = l.letter GROUP BY l.letter), sl AS (SELECT letter, row_number() OVER (ORDER BY c + k, letter) AS n FROM c, range(2000) r(k)), o AS (SELECT id, row_number() OVER (ORDER BY sha1(CAST(id AS VARCHAR)), id) AS n FROM i WHERE id % 3 <> 0) SELECT id, letter FROM o JOIN sl ON sl.n = o.n",
+    "balanced_letters_fixed": f"WITH {shared.items(D)}, i AS (SELECT id FROM items), fx AS (SELECT CASE WHEN id % 2 = 0 THEN 'A' ELSE 'B' END AS letter FROM i WHERE id % 3 = 0), l AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D')) t(letter)), c AS (SELECT l.letter, count(fx.letter) AS c FROM l LEFT JOIN fx ON fx.letter = l.letter GROUP BY l.letter), sl AS (SELECT letter, row_number() OVER (ORDER BY c + k, letter) AS n FROM c, range(20000) r(k)), o AS (SELECT id, row_number() OVER (ORDER BY sha1(CAST(id AS VARCHAR)), id) AS n FROM i WHERE id % 3 <> 0) SELECT id, letter FROM o JOIN sl ON sl.n = o.n",
     "paired_bootstrap": "WITH " + _boot("SELECT l.doc_id AS id, quality - (1 - toxic) AS x FROM labels l JOIN documents d ON d.doc_id = l.doc_id", "pair", "b") + " SELECT round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM b",
     "independent_bootstrap": "WITH " + _boot("SELECT l.doc_id AS id, quality AS x FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 2 = 0", "a", "a") + ", " + _boot("SELECT l.doc_id AS id, quality AS x FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 2 = 1", "b", "b") + " SELECT round(quantile_cont(a.mean - b.mean, 0.025), 6) AS lo, round(quantile_cont(a.mean - b.mean, 0.975), 6) AS hi FROM a JOIN b ON b.draw = a.draw",
     "fisher": "WITH t AS (SELECT count_if(quality = 1 AND toxic = 1) AS a, count_if(quality = 1 AND toxic = 0) AS b, count_if(quality = 0 AND toxic = 1) AS c, count_if(quality = 0 AND toxic = 0) AS d FROM labels), x AS (SELECT *, unnest(range(greatest(0, a - d)::BIGINT, (least(a + b, a + c) + 1)::BIGINT)) AS x FROM t), p AS (SELECT *, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS l, lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + lgamma(c + d + 1) - lgamma(c + 1) - lgamma(d + 1) AS lo, lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1) AS n FROM x) SELECT a, b, c, d, round(least(1.0, sum(CASE WHEN l <= lo + 1e-7 THEN exp(l - n) ELSE 0 END)), 6) AS p FROM p GROUP BY a, b, c, d",
     "wilson": "WITH g AS (SELECT toxic, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k, 1.959964 * 1.959964 AS z2 FROM labels GROUP BY toxic) SELECT toxic, n::BIGINT AS n, round(greatest(0.0, (k / n + z2 / (2 * n) - 1.959964 * sqrt(k / n * (1 - k / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 6) AS lo, round(least(1.0, (k / n + z2 / (2 * n) + 1.959964 * sqrt(k / n * (1 - k / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 6) AS hi FROM g",
     "eap_trajectory": f"WITH {_EAP} SELECT session, seq, round(theta, 5) AS theta, round(sd, 5) AS sd FROM m",
     "eap_stop": f"WITH {_EAP} SELECT session, min(seq) AS stop FROM m WHERE seq >= 60 OR (seq >= 3 AND round(sd, 7) < 0.5) GROUP BY session",
+    "session_stream": f"WITH {_EAP}, ends AS (SELECT session, max(seq) AS n, count_if(correct) AS correct FROM responses GROUP BY session) SELECT ends.session, n, correct, round(theta, 5) AS theta, round(sd, 5) AS sd FROM ends JOIN m ON m.session = ends.session AND m.seq = ends.n",
     "bkt_mastery": f"{_BKT} SELECT session, lo, max(i) AS n, round(arg_max(m, i), 6) AS mastery FROM f GROUP BY session, lo",
     "elo_calibration": f"WITH RECURSIVE {_EAP}, r AS (SELECT a.item, a.b, a.correct, coalesce(m.theta, 0) AS t, row_number() OVER (PARTITION BY a.item ORDER BY a.ts, a.event_id) AS i FROM responses a LEFT JOIN m ON m.session = a.session AND m.seq = a.seq - 1), f AS (SELECT item, 0::BIGINT AS i, any_value(b) AS label, any_value(b) AS x FROM r GROUP BY item UNION ALL SELECT f.item, r.i, f.label, x - 0.15 / (1 + 0.02 * f.i) * (CASE WHEN correct THEN 1.0 ELSE 0.0 END - (0.25 + 0.75 / (1 + exp(-(t - x))))) FROM f JOIN r ON r.item = f.item AND r.i = f.i + 1), z AS (SELECT item, max(i) AS n, arg_max(x, i) AS x, any_value(label) AS label FROM f GROUP BY item) SELECT item, n, round(x, 5) AS b, round(CASE WHEN n < 5 THEN label ELSE x END, 5) AS b_used FROM z",
     "unit_mastery": f"{_BKT}, s AS (SELECT session, lo, max(i) AS n, arg_max(m, i) AS mastery FROM f GROUP BY session, lo), ob AS (SELECT * FROM (VALUES ('click', 'u1'), ('view', 'u1'), ('purchase', 'u2'), ('signup', 'u2'), ('error', 'u3'), ('never', 'u4')) t(lo, unit)), al AS (SELECT session, lo, unit FROM (SELECT DISTINCT session FROM s), ob) SELECT al.session, unit, round(avg(mastery), 6) AS mastery, count(mastery) AS observed, count(*) AS objectives, CAST(coalesce(sum(n), 0) AS BIGINT) AS answered FROM al LEFT JOIN s ON s.session = al.session AND s.lo = al.lo GROUP BY al.session, unit",
 }
 
 
+ORACLES["elo_stream"] = ORACLES["elo_calibration"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _from_sql(make) for name, make in shared.QUERIES.items()} | {f.__name__: f for f in DATAFRAME}
+    from . import applied
+
+    return {name: _from_sql(make) for name, make in shared.QUERIES.items()} | {f.__name__: f for f in DATAFRAME} | applied.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make(D) for name, make in shared.QUERIES.items()} | ORACLES
+    from . import applied
+
+    return {name: make(D) for name, make in shared.QUERIES.items()} | ORACLES | applied.ORACLES

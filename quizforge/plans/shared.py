@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..functions.dialect import Duck, Spark
-from ..functions.text import STOP
+from ..functions.text import HIGHER, RECALL, STOP
 
 
 def items(D: Spark) -> str:
@@ -22,19 +22,16 @@ def arms(D: Spark) -> str:
 
 
 def sents(D: Spark) -> str:
-    return f"""s0 AS (SELECT doc_id, text, {D.sentences('text')} AS ss FROM documents),
+    """Each document as an item: the question is its first 12 words, the answer its first word."""
+    return f"""s0 AS (SELECT doc_id, text, {D.sentences('text')} AS ss FROM documents WHERE {D.size(D.words('text'))} > 0),
 s1 AS (SELECT doc_id, ss, {D.size('ss')} AS n, {D.positions(D.size('ss'))} AS pos FROM s0),
-q AS (SELECT doc_id, lower({D.at(D.words('text'), '1')}) AS answer, {D.without(D.slice(D.words('text'), '1', '12'), STOP, 2)} AS qw FROM documents WHERE {D.size(D.words('text'))} >= 12),
-s2 AS (SELECT s1.doc_id, pos, n, {D.at('ss', 'pos')} AS s, answer, qw FROM s1 JOIN q ON q.doc_id = s1.doc_id),
-s3 AS (SELECT doc_id, pos, n, s, answer, qw, {D.without(D.words('s'), STOP, 2)} AS w FROM s2),
-s4 AS (SELECT doc_id, pos, n, s, answer, (CASE WHEN {_has(D)} THEN 1.5e0 ELSE 0e0 END) + {D.common('w', 'qw')} / CAST(greatest({D.size('qw')}, 1) AS DOUBLE) AS score FROM s3),
+q AS (SELECT doc_id, {D.at(D.words('text'), '1')} AS answer, {D.without(D.slice(D.words('text'), '1', '12'), STOP, 2)} AS qw, {D.without(D.slice(D.words('text'), '1', '1'), STOP, 2)} AS aw FROM documents WHERE {D.size(D.words('text'))} > 0),
+s2 AS (SELECT s1.doc_id, pos, n, {D.at('ss', 'pos')} AS s, answer, qw, aw FROM s1 JOIN q ON q.doc_id = s1.doc_id),
+s3 AS (SELECT doc_id, pos, n, s, answer, qw, aw, {D.without(D.words('s'), STOP, 2)} AS w FROM s2),
+s4 AS (SELECT doc_id, pos, n, s, answer, 1.5e0 * (CASE WHEN instr(lower(s), answer) > 0 THEN 1e0 ELSE 0.6e0 * {D.common('w', 'aw')} / CAST(greatest({D.size('aw')}, 1) AS DOUBLE) END) + {D.common('w', 'qw')} / CAST(greatest({D.size('qw')}, 1) AS DOUBLE) AS score FROM s3),
 ranked AS (SELECT doc_id, pos, n, s, answer, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rk FROM s4)"""
 
 
-def _has(D: Spark) -> str:
-    return "instr(lower(s), answer) > 0"
-
-
 def text_normalize_hash(D: Spark) -> str:
     norm = f"trim({D.sub(D.sub('lower(' + D.clean('text') + ')', '[^a-z0-9 ]+', ' '), '[ ]+', ' ')})"
     return f"""WITH t AS (SELECT doc_id, text, {norm} AS norm, {D.clean('text')} AS c FROM documents)
@@ -66,19 +63,21 @@ SELECT doc_id, md5(answer || ' is correct. ' || a || coalesce(' ' || z, '')) AS
 
 def stimulus_excerpt(D: Spark) -> str:
     return f"""WITH {sents(D)}, c AS (SELECT ranked.doc_id, greatest(pos - 1, 1) AS a, ss FROM ranked JOIN s0 ON s0.doc_id = ranked.doc_id WHERE rk = 1)
-SELECT doc_id, md5(substring({D.join(D.slice('ss', 'a', '3'))}, 1, 1200)) AS excerpt_md5 FROM c"""
+SELECT s0.doc_id, md5(substring({D.join(D.slice('c.ss', 'a', '3'))}, 1, 1200)) AS excerpt_md5 FROM s0 LEFT JOIN c ON c.doc_id = s0.doc_id"""
 
 
 def passage_trim(D: Spark) -> str:
     return f"""WITH {sents(D)}, best AS (SELECT doc_id, greatest(pos - 2, 1) AS a FROM ranked WHERE rk = 1),
-run AS (SELECT s1.doc_id, pos, {D.at('ss', 'pos')} AS s, sum(length({D.at('ss', 'pos')}) + 1) OVER (PARTITION BY s1.doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS upto FROM s1 JOIN best ON best.doc_id = s1.doc_id WHERE pos >= a)
-SELECT doc_id, count(*) AS sentences, CAST(max(upto) AS BIGINT) AS chars FROM run WHERE upto <= 1200 GROUP BY doc_id"""
+run AS (SELECT s1.doc_id, pos, sum(length({D.at('ss', 'pos')}) + 1) OVER (PARTITION BY s1.doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS upto FROM s1 JOIN best ON best.doc_id = s1.doc_id WHERE pos >= a),
+fits AS (SELECT doc_id, CAST(max(upto) AS BIGINT) AS chars FROM run WHERE upto <= 1200 GROUP BY doc_id)
+SELECT s0.doc_id, CAST(CASE WHEN length(text) <= 1200 THEN length(text) ELSE coalesce(chars, 1200) END AS BIGINT) AS chars FROM s0 LEFT JOIN fits ON fits.doc_id = s0.doc_id"""
 
 
 def fit_length(D: Spark) -> str:
     return f"""WITH {sents(D)}, run AS (SELECT doc_id, pos, length({D.at('ss', 'pos')}) AS len, coalesce(sum(length({D.at('ss', 'pos')}) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s1),
-stop AS (SELECT doc_id, min(CASE WHEN pos > 1 AND before >= 150 AND before + len > 400 THEN pos END) AS cutpos FROM run GROUP BY doc_id)
-SELECT run.doc_id, count(*) AS kept, CAST(sum(len + 1) - 1 AS BIGINT) AS chars FROM run JOIN stop ON stop.doc_id = run.doc_id WHERE cutpos IS NULL OR pos < cutpos GROUP BY run.doc_id"""
+stop AS (SELECT doc_id, min(CASE WHEN pos > 1 AND before >= 150 AND before + len > 400 THEN pos END) AS cutpos FROM run GROUP BY doc_id),
+f AS (SELECT run.doc_id, CAST(sum(len + 1) - 1 AS BIGINT) AS chars FROM run JOIN stop ON stop.doc_id = run.doc_id WHERE cutpos IS NULL OR pos < cutpos GROUP BY run.doc_id)
+SELECT s0.doc_id, CAST(CASE WHEN chars BETWEEN 150 AND 1200 THEN chars ELSE length(text) END AS BIGINT) AS chars FROM s0 LEFT JOIN f ON f.doc_id = s0.doc_id"""
 
 
 def exact_dup_groups(D: Spark) -> str:
@@ -103,7 +102,7 @@ SELECT id FROM r WHERE can AND rk <= {D.even('0.3 * n')}"""
 
 
 def balanced_letters(D: Spark) -> str:
-    return f"""WITH {items(D)} SELECT id, substring('ABCD', CAST((row_number() OVER (ORDER BY md5('letters:' || CAST(id AS VARCHAR(20))), id) - 1) % 4 + 1 AS INT), 1) AS letter FROM items WHERE split = 'valid'"""
+    return f"""WITH {items(D)} SELECT id, substring('ABCD', CAST((row_number() OVER (ORDER BY md5('letters:' || CAST(id AS VARCHAR(20))), id) - 1) % 4 + 1 AS INT), 1) AS letter FROM items"""
 
 
 def holdout_hash(D: Spark) -> str:
@@ -122,12 +121,14 @@ u AS (SELECT id, subject, src FROM a WHERE rk <= 5 UNION ALL SELECT id, subject,
 
 
 def avoid_lists(D: Spark) -> str:
-    return f"""WITH {items(D)}, p AS (SELECT id, subject FROM items WHERE split = 'valid'), x AS (SELECT p.id, o.id AS other, row_number() OVER (PARTITION BY p.id ORDER BY md5(CAST(p.id AS VARCHAR(20)) || ':' || CAST(o.id AS VARCHAR(20))), o.id) AS rk FROM p JOIN p o ON o.subject = p.subject AND o.id <> p.id)
-SELECT id, count(*) AS n, min(other) AS least_other, max(other) AS most_other FROM x WHERE rk <= 2 GROUP BY id"""
+    return f"""WITH {items(D)}, r AS (SELECT id, subject, md5('avoid:' || CAST(id AS VARCHAR(20))) AS h FROM items),
+x AS (SELECT id, lead(id, 1) OVER w AS a, lead(id, 2) OVER w AS b, first_value(id) OVER w AS f1, nth_value(id, 2) OVER (PARTITION BY subject ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f2 FROM r WINDOW w AS (PARTITION BY subject ORDER BY h, id)),
+p AS (SELECT id, coalesce(a, f1) AS one, CASE WHEN a IS NULL THEN f2 WHEN b IS NULL THEN f1 ELSE b END AS two FROM x)
+SELECT id, CASE WHEN one <> id THEN one END AS one, CASE WHEN two <> id AND two <> one THEN two END AS two FROM p"""
 
 
 def best_sample_per_prompt(D: Spark) -> str:
-    return """WITH r AS (SELECT user_id AS id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 0), length(event_type) DESC, event_id) AS rk FROM events WHERE value > 5) SELECT id, event_id, value FROM r WHERE rk = 1"""
+    return """WITH r AS (SELECT user_id AS id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 0), length(event_type) DESC, event_id) AS rk FROM events) SELECT id, event_id, value FROM r WHERE rk = 1"""
 
 
 def json_fields(D: Spark) -> str:
@@ -244,7 +245,7 @@ def chat_rows(D: Spark) -> str:
 
 
 def conversation_roundtrip(D: Spark) -> str:
-    return """WITH m AS (SELECT conv_id, turn, 'role=' || role || '|text=' || text AS line FROM conversations), p AS (SELECT conv_id, turn, substring(line, 6, instr(line, '|text=') - 6) AS role, substring(line, instr(line, '|text=') + 6, 100000) AS text FROM m)
+    return """WITH m AS (SELECT conv_id, turn, 'role=' || role || '|text=' || text AS line FROM conversations), p AS (SELECT conv_id, turn, substring(line, 6, instr(line, '|text=') - 6) AS role, substring(line, instr(line, '|text=') + 6, 2000000000) AS text FROM m)
 SELECT p.conv_id, p.turn, p.role, p.text = c.text AS same, length(p.text) AS n FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn AND c.role = p.role"""
 
 
@@ -253,8 +254,12 @@ def letter_parse(D: Spark) -> str:
 
 
 def bloom(D: Spark) -> str:
-    high, low = r"(?i)(^| )(why|explain|predict|because|effect of|cause[sd]?|if|in|the) ", r"(?i)(^| )(is called|known as|what kind|an|with) "
-    return f"""SELECT doc_id, (CASE WHEN {D.matches('text', high)} THEN 1e0 ELSE 0e0 END) - (CASE WHEN {D.matches('text', low)} THEN 1e0 ELSE 0e0 END) AS bloom FROM documents"""
+    if D.name == "duckdb":  # its word border knows ASCII only
+        edge = "[^0-9A-Za-z_\\x{00AA}-\\x{024F}]"
+        hit = lambda p: f"regexp_matches(text, '(?i)(^|{edge})({p})({edge}|$)')"
+    else:
+        hit = lambda p: f"text rlike '(?iU)\\\\b({p})\\\\b'"
+    return f"""SELECT doc_id, (CASE WHEN {hit(HIGHER)} THEN 1e0 ELSE 0e0 END) - (CASE WHEN {hit(RECALL)} THEN 1e0 ELSE 0e0 END) AS bloom FROM documents"""
 
 
 def answer_norm(D: Spark) -> str:
@@ -280,8 +285,8 @@ def sim_response_model(D: Spark) -> str:
 
 
 def tag_stems(D: Spark) -> str:
-    stem = "CASE WHEN doc_id % 2 = 0 THEN 'Based on the excerpt, ' ELSE '' END || lower(substring(text, 1, 40))"
-    return f"""WITH t AS (SELECT doc_id, source, {stem} AS stem FROM documents) SELECT doc_id, md5(CASE WHEN stem LIKE 'Based on the excerpt, %' THEN upper(substring(stem, 23, 1)) || substring(stem, 24, 100) ELSE stem END || ' Answer: ' || source) AS tag_md5 FROM t"""
+    stem = "CASE WHEN doc_id % 2 = 0 THEN 'Based on the excerpt, ' ELSE '' END || lower(text)"
+    return f"""WITH t AS (SELECT doc_id, source, {stem} AS stem FROM documents) SELECT doc_id, md5(CASE WHEN stem LIKE 'Based on the excerpt, %' THEN upper(substring(stem, 23, 1)) || substring(stem, 24, 2000000000) ELSE stem END || ' Answer: ' || source) AS tag_md5 FROM t"""
 
 
 QUERIES: dict[str, Callable[[Spark], str]] = {

@@ -19,6 +19,22 @@ def jsonl(spark: SparkSession, path: str, schema: str, torn: bool = False) -> Da
     return found.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
+def append_only(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An append-only file of JSON lines: a last line that was not finished is left out, a broken one before it raises."""
+    found = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    texts = spark.read.format("binaryFile").load(path).select(F.coalesce(F.substring_index(F.decode("content", "UTF-8"), "\n", -1), F.lit("")).alias("tail"))
+    tails = [r["tail"] for r in texts.where("tail <> ''").collect()]  # one unfinished line a file at most
+    torn = F.coalesce(F.col("_corrupt").isin(*tails), F.lit(False)) if tails else F.lit(False)
+    whole = F.col("_corrupt").isNull()
+    checked = found.where(~torn).where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("broken line: "), F.col("_corrupt")))))
+    return checked.drop("_corrupt")
+
+
+def per_item(spark: SparkSession, path: str, schema: str, arm: str) -> DataFrame:
+    """The rows of one arm of a table of JSON lines."""
+    return jsonl(spark, path, schema).where(F.col("arm") == arm)
+
+
 def split_file(spark: SparkSession, path: str, split: str) -> DataFrame:
     """A file that is one JSON array of raw records; the place in it is part of the id."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schemas.RAW.replace(' string', ': string')}>>").alias("rows"))
