@@ -60,7 +60,7 @@ def _powers(base: int, modulus: int, bits: int) -> np.ndarray:
 
 def part_digests(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial digests, by both moduli, of the bytes lo .. lo + size."""
-    bits = max(21, len(raw).bit_length())
+    bits = max(19, len(raw).bit_length())
     code = raw.astype(np.uint64) + np.uint64(1)
 
     def between(weight: np.ndarray) -> np.ndarray:  # sums wrap, but the bytes of a part add up to less than that
@@ -147,7 +147,7 @@ PARTS = "h long, d long, e int, _row long, lo int, n short, q short"
 def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     let_go()
     for batch in batches:
-        for own in slices(batch, "_text", 1 << 20):
+        for own in slices(batch, "_text", 1 << 18):
             raw, offsets = flat(own.column("_text"))
             value, lo, windows, h, place, large, small = anchors(raw, offsets, length)
             rows = np.asarray(own.column("_row"))[value]

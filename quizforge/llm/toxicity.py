@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, LOWER, SPACE, flat, mix, slices, span_hashes, table, texts_of
+from .common import BYTE_CODE, LOWER, SPACE, flat, let_go, mix, slices, span_hashes, table, texts_of
 from .common import STEP as FACTOR
 from .labelled import held_out, sample
 
@@ -162,6 +162,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch, "_text", STEP):
                 s = scores(part.column("_text"), model)
@@ -179,6 +180,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model, schema = fit(docs, labels, id_col, text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch, text_col, STEP):
                 yield part.filter(pa.array(scores(part.column(text_col), model) < 0.5))
