@@ -10,8 +10,8 @@ from .common import numbered, rows_of, table
 WINDOW = 13
 #: A document is contaminated where hits are at least one in this many words.
 ONE_IN = 20
-#: Distinct benchmark windows up to which they are broadcast (about 50 MB); beyond, the join is shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of all distinct benchmark windows, with their items, up to which they are broadcast; beyond, probes are shuffled to them.
+BROADCAST_BYTES = 64 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,23 +47,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Word windows are hashed and probed against the hashed benchmark windows; a probe that meets one is
     verified word for word. The probe runs next to the scan: no document text is shuffled, only verified
-    hits and one row per document are. Null or empty text has no words and is not contaminated. A benchmark
+    hits and one row per document are. A benchmark too large to broadcast is joined by hash instead. Null or empty text has no words and is not contaminated. A benchmark
     item without words has no windows; one without id hits but isn't listed; items that share an id count
     once. Rows that share a doc_id, or a text, are judged each. Other columns are not read. row names the
     column of row numbers, if docs has one.
     """
     win = benchmark_windows(benchmark, item_col, item_text_col, window)
-    sizes = win.groupBy("len").count().collect()  # at most `window` rows
-    side = F.broadcast(win) if sum(x["count"] for x in sizes) <= BROADCAST_WINDOWS else win
-    parsed = rows_of(docs, id_col, text_col, row, once=True).select("_row", "_id", words(F.col("_text")).alias("ws"))
-    lone = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")))  # keeps documents without hits
-    probes = parsed.select("_row", "_id", "ws", F.size("ws").alias("n_words"), F.concat(lone, *(_windows(F.col("ws"), x["len"]) for x in sorted(sizes, key=lambda x: x["len"]))).alias("probes"))
-    # the _outer form: the plain one infers a filter that would cut the words anew for every window
-    probed = probes.select("_row", "_id", "ws", "n_words", F.inline_outer("probes"))
-    met = probed.join(side.withColumnRenamed("len", "wlen").withColumnRenamed("hash", "whash"), (F.col("hash") == F.col("whash")) & (F.col("len") == F.col("wlen")), "left")
-    real = met.where((F.col("at") == 0) | (F.slice("ws", F.greatest("at", F.lit(1)), F.col("len")) == F.col("win")))
-    found = real.where((F.col("at") == 0) | F.col("win").isNotNull()).select("_row", "_id", "n_words", F.when(F.col("at") > 0, F.struct("at", "len")).alias("hit"), F.when(F.col("at") > 0, F.col("items")).alias("items"))
-    whole = found.groupBy("_row").agg(F.first("_id").alias("doc_id"), F.first("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_list("hit")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    size = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 100
+    sizes = win.groupBy("len").agg(F.sum(size).alias("bytes")).collect()  # at most `window` rows
+    side = win.withColumnRenamed("len", "wlen").withColumnRenamed("hash", "whash")
+    parsed = rows_of(docs, id_col, text_col, row).select("_row", "_id", words(F.col("_text")).alias("ws"))
+    probes = F.concat(F.array().cast("array<struct<at:int,len:int,hash:bigint>>"), *(_windows(F.col("ws"), x["len"]) for x in sorted(sizes, key=lambda x: x["len"])))
+    same = (F.col("hash") == F.col("whash")) & (F.col("len") == F.col("wlen"))
+    if sum(x["bytes"] for x in sizes) <= BROADCAST_BYTES:
+        lone = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")))  # keeps documents without hits
+        # the _outer form: the plain one infers a filter that would cut the words anew for every window
+        probed = parsed.select("_row", "_id", "ws", F.size("ws").alias("n_words"), F.concat(lone, probes).alias("probes")).select("_row", "_id", "ws", "n_words", F.inline_outer("probes"))
+        met = probed.join(F.broadcast(side), same, "left")
+        real = met.where((F.col("at") == 0) | (F.slice("ws", F.greatest("at", F.lit(1)), F.col("len")) == F.col("win")))
+        found = real.where((F.col("at") == 0) | F.col("win").isNotNull()).select("_row", "_id", "n_words", F.when(F.col("at") > 0, F.struct("at", "len")).alias("hit"), F.when(F.col("at") > 0, F.col("items")).alias("items"))
+        whole = found.groupBy("_row").agg(F.first("_id").alias("doc_id"), F.first("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_list("hit")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    else:
+        # only (row, place, hash) is shuffled to the windows; what meets goes back to its document, which verifies it
+        met = parsed.select("_row", F.inline(probes)).join(side, same).groupBy("_row").agg(F.collect_list(F.struct("at", "len", "win", "items")).alias("met"))
+        hit = F.filter(F.coalesce("met", F.array().cast("array<struct<at:int,len:int,win:array<string>,items:array<string>>>")), lambda x: F.slice(F.col("ws"), x["at"], x["len"]) == x["win"])
+        real = parsed.join(met, "_row", "left").select("_row", F.col("_id").alias("doc_id"), F.size("ws").cast("long").alias("n_words"), hit.alias("hit"))
+        whole = real.select("_row", "doc_id", "n_words", F.sort_array(F.transform("hit", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda x: x["items"])))).alias("items"))
     # spans in order: each adds what lies beyond the furthest end so far
     covered = F.aggregate(
         "spans",
