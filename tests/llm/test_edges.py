@@ -65,6 +65,14 @@ def test_no_labels_no_benchmark(docs, labels, bench):
     assert {r["n_hit"] for r in decontaminate.hits(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_without_broadcast(spark, docs, bench, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    tables = [(docs, bench), (spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))]
+    want = [sorted(map(str, decontaminate.hits(d, b).drop("_row").collect())) for d, b in tables]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert [sorted(map(str, decontaminate.hits(d, b).drop("_row").collect())) for d, b in tables] == want
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     assert packing.pack(none).collect() == []
