@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -79,6 +80,10 @@ def let_go() -> None:
         clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # glibc keeps freed memory otherwise
+    except (OSError, AttributeError):
+        pass
 
 
 def partitions(spark: SparkSession) -> int:
