@@ -14,7 +14,7 @@ from .common import held
 #: The id that ends each document.
 END_ID = 2
 #: Words that a worker keeps ids of; beyond, it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 #: A space may stand between a letter or digit and these without a change of the ids.
 _SPLIT = r"([a-z0-9])([.,!?;:*$%&#]+)"
 
