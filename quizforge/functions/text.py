@@ -113,7 +113,7 @@ def tag_text(stem: Column, correct: Column) -> Column:
 
 def parse_letter(t: Column) -> Column:
     """The first lone A-D in the first 20 characters, or null."""
-    found = F.regexp_extract(F.substring(F.upper(F.trim(t)), 1, 20), r"\b([ABCD])\b", 1)
+    found = F.regexp_extract(F.substring(F.upper(F.trim(t)), 1, 20), r"(?U)\b([ABCD])\b", 1)
     return F.when(found != "", found)
 
 

@@ -92,7 +92,7 @@ def letter_parse(spark, sf):
     return table(spark, sf, "documents").groupBy(T.parse_letter(F.col("text")).alias("letter")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, nullif(regexp_extract(substring(upper(trim(text)), 1, 20), '(^|[^A-Z0-9_])([ABCD])([^A-Z0-9_]|$)', 2), '') IS NOT DISTINCT FROM substring('ABCD', (turn % 4 + 1)::INT, 1) AS agrees FROM conversations")
+@query("SELECT conv_id, turn, nullif(regexp_extract(substring(upper(trim(text)), 1, 20), '(^|[^A-Z0-9_\\x{00AA}-\\x{024F}])([ABCD])([^A-Z0-9_\\x{00AA}-\\x{024F}]|$)', 2), '') IS NOT DISTINCT FROM substring('ABCD', (turn % 4 + 1)::INT, 1) AS agrees FROM conversations")
 def free_text_solver(spark, sf):
     key = F.substring(F.lit("ABCD"), (F.col("turn") % 4 + 1).cast("int"), F.lit(1))
     return table(spark, sf, "conversations").select("conv_id", "turn", T.parse_letter(F.col("text")).eqNullSafe(key).alias("agrees"))

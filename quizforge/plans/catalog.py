@@ -215,7 +215,7 @@ def independent_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 def _boot(select: str, seed: str, name: str) -> str:
     h = D.hex8(f"md5('{seed}:' || CAST(r.i AS VARCHAR) || ':' || CAST(k.i AS VARCHAR))")
-    return f"""{name}0 AS ({select}), {name}p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, x FROM {name}0), {name} AS (SELECT r.i AS draw, avg(x) AS mean FROM range({DRAWS}) r(i), (SELECT unnest(range(count(*))) AS i FROM {name}0) k, {name}p WHERE pos = {h} % (SELECT count(*) FROM {name}0) GROUP BY r.i)"""
+    return f"""{name}0 AS ({select}), {name}p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, x FROM {name}0), {name}k AS (SELECT r.i AS draw, {h} % n AS pos FROM (SELECT count(*) AS n FROM {name}0) c, range({DRAWS}) r(i), (SELECT unnest(range(count(*))) AS i FROM {name}0) k), {name} AS (SELECT draw, avg(x) AS mean FROM {name}k JOIN {name}p USING (pos) GROUP BY draw)"""
 
 
 def fisher(spark: SparkSession, sf: str) -> DataFrame:

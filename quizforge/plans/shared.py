@@ -250,7 +250,7 @@ SELECT p.conv_id, p.turn, p.role, p.text = c.text AS same, length(p.text) AS n F
 
 
 def letter_parse(D: Spark) -> str:
-    return f"""WITH t AS (SELECT doc_id, upper(trim(text)) AS u FROM documents), x AS (SELECT doc_id, {D.extract('substring(u, 1, 20)', '(^|[^A-Z0-9_])([ABCD])([^A-Z0-9_]|$)', 2)} AS letter FROM t) SELECT nullif(letter, '') AS letter, count(*) AS n FROM x GROUP BY letter"""
+    return f"""WITH t AS (SELECT doc_id, upper(trim(text)) AS u FROM documents), x AS (SELECT doc_id, {D.extract('substring(u, 1, 20)', r'(^|[^A-Z0-9_\x{00AA}-\x{024F}])([ABCD])([^A-Z0-9_\x{00AA}-\x{024F}]|$)', 2)} AS letter FROM t) SELECT nullif(letter, '') AS letter, count(*) AS n FROM x GROUP BY letter"""
 
 
 def bloom(D: Spark) -> str:
