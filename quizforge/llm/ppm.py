@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Words, flat, materialize, mix, partitions, rows_of, slices, table
+from .common import STEP_BYTES, Words, flat, let_go, materialize, mix, partitions, rows_of, slices, table
 from .labelled import held_out
 
 #: Bytes of the longest context.
@@ -80,6 +80,7 @@ def _counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
 
     n counts training texts alone, so an n-gram of held-out texts only has 0. A chunk ends after CHUNK_BYTES or CHUNK_KEYS.
     """
+    let_go()
     have: dict[int, list] = {GRAMS: [], WORDS: []}
     chunk, size = TaskContext.get().partitionId() << 33, 0
 
@@ -226,6 +227,7 @@ def logs(grams: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges) - 1, part)), _packed(keys, edges), _packed(Trie(grams[::-1]).log10(keys), edges)], ["part", "keys", "logs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, have = None, []
         for batch in batches:
             for at, own in _runs(batch):
@@ -244,6 +246,7 @@ def logs(grams: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, keys, logs) of each chunk's packs; those of the trie come first in each part, without a chunk."""
+    let_go()
     part, have, known = None, [], None
     for batch in batches:
         for at, own in _runs(batch):
@@ -294,6 +297,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     fields = ["_row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "words", "times"]
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        let_go()
         own, log = (np.concatenate([_numbers(x, kind)[0] for x in found.column(c).chunks]) for c, kind in (("keys", np.int64), ("logs", np.float64)))
         order = np.argsort(own)
         own, log = own[order], log[order]
