@@ -126,11 +126,13 @@ def reasoning_stripped(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.strip_reasoning(t).alias("rest"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS empty, length(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), ' ([,.;:])', '\\1', 'g'))) AS n, regexp_matches(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), ' ([,.;:])', '\\1', 'g')), '^[A-Z0-9“\"(]') AND regexp_matches(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), ' ([,.;:])', '\\1', 'g')), '[.?!][”\")]?$') AS prose FROM documents WHERE NOT contains(text, '[') AND NOT contains(text, '(')")
+_TIDY = rf"regexp_replace(regexp_replace(text, '{textbook.BRACKETED}', '', 'g'), '\[\s*\]', '', 'g')"
+
+
+@query(rf"WITH t AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace({_TIDY}, '\s+([,.;:])', '\1', 'g'), '\s+', ' ', 'g')) AS tidy FROM documents) SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) = '' AS empty, length(tidy) AS n, regexp_matches(tidy, '^[A-Z0-9“\x22(]') AND regexp_matches(tidy, '[.?!][”\x22)]?$') AS prose FROM t")
 def textbook_tidy(spark, sf):
-    d = table(spark, sf, "documents").where(~F.contains("text", F.lit("[")) & ~F.contains("text", F.lit("(")))
     tidy = textbook.tidy(F.col("text"))
-    return d.select("doc_id", (T.clean(F.col("text")) == "").alias("empty"), F.length(tidy).alias("n"), textbook.prose(tidy).alias("prose"))
+    return table(spark, sf, "documents").select("doc_id", (T.clean(F.col("text")) == "").alias("empty"), F.length(tidy).alias("n"), textbook.prose(tidy).alias("prose"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 5 <> 0 AND NOT coalesce(lead(turn % 5 = 0) OVER w AND lead(role) OVER w = role, false) THEN length(text) END AS n, coalesce(lag(CASE WHEN turn % 5 <> 0 THEN 1 END) OVER w IS NULL OR lag(turn) OVER w IS NULL, true) AS after_gap FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
