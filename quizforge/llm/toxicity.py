@@ -128,6 +128,22 @@ def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     return weight, float(state[2][0])
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all batches; nothing without texts of both labels."""
+    let_go()
+    found = [b for b in batches if b.num_rows]
+    sample_ = pa.Table.from_batches(found).sort_by("_id") if found else None
+    y = sample_.column("y").to_numpy().astype(np.float64) if found else np.zeros(0)
+    if len(set(y)) < 2:
+        return
+    texts = sample_.column("_text").to_pylist()
+    del found, sample_
+    weight, bias = train(texts, y)
+    yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"])
+    del texts, weight
+    let_go()
+
+
 def scores(texts: pa.Array, model: tuple[np.ndarray, float] | None) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
@@ -137,19 +153,15 @@ def scores(texts: pa.Array, model: tuple[np.ndarray, float] | None) -> np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> tuple[np.ndarray, float] | None:
-    """Learn from at most SAMPLE labelled documents that are not held out; the sample's size bounds the driver.
+    """Learn from at most SAMPLE labelled documents that are not held out, in one task; the driver gets the weights only.
 
     The bias is that of all labelled documents' odds, whatever the sample's.
 
     None, and scores of 0, without documents of both labels.
     """
     picked, shift = sample(texts_of(docs, id_col, text_col), labels, "toxic", held_out("_id", 5, 0) if out is None else out, SAMPLE)
-    found = picked.toArrow().sort_by("_id")
-    y = found.column("y").to_numpy().astype(np.float64)
-    if len(set(y)) < 2:
-        return None
-    weight, bias = train(found.column("_text").to_pylist(), y)
-    return weight, bias + shift
+    found = picked.coalesce(1).mapInArrow(_train, "weight binary, bias double").collect()
+    return (np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"] + shift) if found else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

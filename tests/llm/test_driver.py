@@ -2,7 +2,7 @@
 
 import random
 
-from quizforge.llm import graph
+from quizforge.llm import graph, toxicity
 
 
 def test_few_edges_take_one_task(spark):
@@ -17,3 +17,16 @@ def test_few_edges_take_one_task(spark):
     assert found == {tuple(r) for r in graph.components(edges, one_task=0).collect()}
     assert len(jobs) < 10
     assert not graph.components(edges.where("a = b")).collect()
+
+
+def test_training_is_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad nasty words") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(1 - doc_id % 2 AS INT) AS toxic")
+
+    def here(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "train", here)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert all(r["predicted"] == 1 - r["doc_id"] % 2 for r in got)
+    assert toxicity.fit(docs, labels.where("toxic = 1")) is None
