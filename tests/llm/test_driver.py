@@ -1,8 +1,11 @@
-"""What must not burden the driver: rounds over few edges, and training."""
+"""What must not burden the driver: rounds over few edges, and training; nor a worker: squares of a group's members."""
 
 import random
+import tracemalloc
 
-from quizforge.llm import graph, toxicity
+import numpy as np
+
+from quizforge.llm import graph, jaccard, toxicity
 
 
 def test_few_edges_take_one_task(spark):
@@ -30,3 +33,16 @@ def test_training_is_a_task(spark, monkeypatch):
     got = toxicity.toxicity(docs, labels).collect()
     assert all(r["predicted"] == 1 - r["doc_id"] % 2 for r in got)
     assert toxicity.fit(docs, labels.where("toxic = 1")) is None
+
+
+def test_comparison_holds_one_square():
+    """linked() held the counts of a group's members in four squares of 8 bytes a cell besides: some 35 bytes a cell."""
+    g, draw = 1500, np.random.default_rng(5)
+    for pool in (10**9, 400):  # few shingles met, and many
+        sets = [np.unique(draw.integers(0, pool, 12).astype(np.uint64)) for _ in range(g - 1)]
+        sets.append(sets[0])
+        tracemalloc.start()
+        pairs = jaccard.linked(sets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (0, g - 1) in pairs and peak < 20 * g * g
